@@ -1,0 +1,2 @@
+from .ingest import batch_cells, stream_blocks, write_stream
+from .notifications import decode_notifications, first_notifications, match_notifications
