@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.schema import BLOCK
+
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -124,3 +126,173 @@ def page_sizes(cells: DataFrame) -> DataFrame:
             "page_count": F.lit(40),
         }
     )
+
+
+def _block(kind, block_id, page, **fields):
+    """Columns of one kind of block, everything not given being null."""
+    given = {"Id": block_id, "BlockType": F.lit(kind), "Page": page, **fields}
+    return [
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BLOCK.fields
+    ]
+
+
+def _relation(kind, ids):
+    return F.struct(F.lit(kind).alias("Type"), ids.alias("Ids"))
+
+
+def _geometry(prefix):
+    box = F.struct(
+        *[F.col(f"{prefix}_{n.lower()}").alias(n) for n in ("Width", "Height", "Left", "Top")]
+    )
+    return F.struct(box.alias("BoundingBox"), F.lit(None).cast("array<struct<X:double,Y:double>>").alias("Polygon"))
+
+
+def block_graph(spark: SparkSession, sf_dir: str, layout: bool = True) -> DataFrame:
+    """The grid as an OCR service would return it, with merged cells, titles and footers.
+
+    Adds ``document`` (the table a block belongs to) to the block columns.
+    """
+    cells = grid_cells(spark, sf_dir)
+    merged = merged_cells(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("source"),
+        F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("table_id"),
+        (F.col("o_orderkey") % 50).cast("int").alias("table_page"),
+        F.col("o_orderkey").cast("string").alias("key"),
+        "o_orderstatus",
+        "o_orderpriority",
+    )
+    page, doc = F.col("table_page"), F.col("table_id")
+    word_ids = F.transform(
+        F.sequence(F.lit(0), F.size("cell_words") - 1),
+        lambda i: F.concat("cell_id", F.lit("_w"), i.cast("string")),
+    )
+    cell_blocks = cells.select(
+        "source",
+        doc.alias("document"),
+        F.col("pos"),
+        *_block(
+            "CELL", F.col("cell_id"), page,
+            Confidence=F.lit(99.5),
+            RowIndex=F.col("row_index"), ColumnIndex=F.col("column_index"),
+            RowSpan=F.lit(1), ColumnSpan=F.lit(1),
+            EntityTypes=F.when(F.col("entity_type").isNotNull(), F.array("entity_type")),
+            Geometry=_geometry("cell"),
+            Relationships=F.when(
+                F.size("cell_words") > 0, F.array(_relation("CHILD", word_ids))
+            ),
+        ),
+    )
+    word_blocks = cells.select(
+        "source", "table_id", "table_page", "cell_id", F.col("pos").alias("p"),
+        F.posexplode("cell_words").alias("i", "w"),
+    ).select(
+        "source",
+        doc.alias("document"),
+        (F.lit(1 << 20) + F.col("p") * 8 + F.col("i")).alias("pos"),
+        *_block(
+            "WORD", F.concat("cell_id", F.lit("_w"), F.col("i").cast("string")), page,
+            Text=F.col("w"), Confidence=F.lit(98.25),
+        ),
+    )
+    merged_blocks = merged.withColumn(
+        "table_page", (F.substring("table_id", 2, 20).cast("bigint") % 50).cast("int")
+    ).select(
+        "source",
+        doc.alias("document"),
+        (F.lit(1 << 30) + F.col("pos")).alias("pos"),
+        *_block(
+            "MERGED_CELL", F.col("cell_id"), page,
+            RowIndex=F.col("row_index"), ColumnIndex=F.col("column_index"),
+            RowSpan=F.col("row_span"), ColumnSpan=F.col("column_span"),
+        ),
+    )
+
+    def captions(prefix, kind, rows, text, place):
+        owner = F.concat(F.lit(prefix), F.col("key"))
+        child = F.concat(owner, F.lit("_w0"))
+        return [
+            rows.select(
+                "source", doc.alias("document"), F.lit((1 << 31) + place).alias("pos"),
+                *_block(kind, owner, page, Relationships=F.array(_relation("CHILD", F.array(child)))),
+            ),
+            rows.select(
+                "source", doc.alias("document"), F.lit((1 << 31) + place + 1).alias("pos"),
+                *_block("WORD", child, page, Text=F.col(text)),
+            ),
+        ]
+
+    titled = orders.filter("o_orderstatus = 'O'")
+    footed = orders.filter("o_orderpriority = '5-LOW'")
+    listed = cells.groupBy("source", "table_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "cell_id"))).getField("cell_id").alias("ids"),
+        *[
+            F.max(c).alias(c)
+            for c in ("table_type", "table_width", "table_height", "table_left", "table_top")
+        ],
+    )
+    merged_ids = merged.groupBy("source", "table_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "cell_id"))).getField("cell_id").alias("merged_ids")
+    )
+    none = F.lit(None).cast("struct<Type:string,Ids:array<string>>")
+    # Relations are listed out of order on purpose: titles first, cells last.
+    relations = F.filter(
+        F.array(
+            F.when(
+                F.col("o_orderstatus") == "O",
+                _relation("TABLE_TITLE", F.array(F.concat(F.lit("tt"), "key"))),
+            ).otherwise(none),
+            F.when(
+                F.col("o_orderpriority") == "5-LOW",
+                _relation("TABLE_FOOTER", F.array(F.concat(F.lit("tf"), "key"))),
+            ).otherwise(none),
+            F.when(F.col("merged_ids").isNotNull(), _relation("MERGED_CELL", F.col("merged_ids"))).otherwise(none),
+            _relation("CHILD", F.concat("ids", F.array(F.lit("unknown-id")))),
+        ),
+        lambda r: r.isNotNull(),
+    )
+    table_blocks = (
+        orders.join(listed, ["source", "table_id"])
+        .join(merged_ids, ["source", "table_id"], "left")
+        .select(
+            "source",
+            doc.alias("document"),
+            F.lit(-1).cast("long").alias("pos"),
+            *_block(
+                "TABLE", F.col("table_id"), page,
+                EntityTypes=F.when(F.col("table_type").isNotNull(), F.array("table_type")),
+                Geometry=_geometry("table"),
+                Relationships=relations,
+            ),
+        )
+    )
+    parts = [cell_blocks, word_blocks, merged_blocks, table_blocks]
+    parts += captions("tt", "TABLE_TITLE", titled, "o_orderpriority", 0)
+    parts += captions("tf", "TABLE_FOOTER", footed, "o_orderstatus", 2)
+    if layout:
+        parts += _layout_blocks(titles(spark, sf_dir))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _layout_blocks(rows: DataFrame) -> list[DataFrame]:
+    line = F.concat(F.lit("line_"), "layout_title_id")
+    page = F.col("layout_title_page")
+    doc = F.col("layout_title_id").alias("document")
+    other = _relation("CHILD", F.array(F.lit("second-relation")))
+    return [
+        rows.select(
+            "source", doc, F.lit(0).cast("long").alias("pos"),
+            *_block(
+                "LAYOUT_TITLE", F.col("layout_title_id"), page,
+                Confidence=F.col("layout_title_confidence"),
+                Relationships=F.array(_relation("CHILD", F.array(line)), other),
+            ),
+        ),
+        rows.select(
+            "source", doc, F.lit(1).cast("long").alias("pos"),
+            *_block("LINE", line, page, Text=F.col("layout_title_text")),
+        ),
+    ]
