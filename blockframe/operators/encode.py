@@ -99,15 +99,9 @@ def padded_grid(
 ) -> DataFrame:
     """Pad each grid to the same height and width; ``flat`` gives one list per row.
 
-    ``extent`` is a fitted (height, width); without it the extent of the data
-    itself is looked up by a scalar subquery.
+    ``extent`` is a fitted (height, width); without it the data is measured first.
     """
-    if extent is None:
-        measured = grid_extent(tables, column)
-        height = measured.select("height").scalar()
-        width = measured.select("width").scalar()
-    else:
-        height, width = extent
+    height, width = extent or grid_extent(tables, column).first()
     grid = pad_grid(column, height, width)
     return tables.withColumn(output, flatten_grid(grid) if flat else grid)
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import (
     CountVectorizerModel,
     IndexToString,
@@ -20,6 +20,9 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +78,22 @@ def _code_sql(column: str, codes: dict[str, int]) -> str:
 
 
 class _Stages:
-    """Feature stages fitted one after the other on the same rows."""
+    """Feature stages fitted one after the other on the same rows.
+
+    Every stage reads the rows once more, so they are kept while training lasts.
+    """
 
     def __init__(self, df: DataFrame):
         self.kept = list(df.columns)
         self.stages: list = []
+        self.rows = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.df = df
-        self.parts: list[str] = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.rows.unpersist()
 
     def add(self, stage) -> None:
         self.stages.append(stage)
@@ -143,23 +155,65 @@ class _Stages:
         return output
 
 
+class HighestMargin(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Position of the two-class classifier with the highest margin.
+
+    The one-against-rest model that ships with PySpark scores through Python
+    functions row by row; this picks the winner with built-in expressions.
+    """
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        margins = F.array(*[vector_to_array(c)[1] for c in self.getInputCols()])
+        return df.withColumn("_margins", margins).withColumn(
+            self.getOutputCol(),
+            (F.array_position("_margins", F.array_max("_margins")) - 1).cast("double"),
+        ).drop("_margins")
+
+
+class OneAgainstRest:
+    """Linear SVMs, one per class; the number of fits is the number of classes."""
+
+    def __init__(self, iterations: int):
+        self.iterations = iterations
+
+    def fit(self, rows: DataFrame) -> PipelineModel:
+        classes = int(rows.agg(F.max("_label")).first()[0]) + 1
+        models = []
+        for i in range(classes):
+            svm = LinearSVC(
+                maxIter=self.iterations,
+                labelCol="_is",
+                featuresCol="features",
+                rawPredictionCol=f"_raw_{i}",
+                predictionCol=f"_vote_{i}",
+            )
+            models.append(svm.fit(rows.withColumn("_is", (F.col("_label") == i).cast("double"))))
+        pick = HighestMargin()
+        pick._set(inputCols=[f"_raw_{i}" for i in range(classes)], outputCol="_prediction")
+        return PipelineModel([*models, pick])
+
+
 def _fit_labels(stages: _Stages, classifier, label: str, output: str) -> PipelineModel:
     """Fit the classifier on the assembled features and add the label decoder."""
     rows = stages.df.filter(F.col(label).isNotNull()).select("features", label)
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    labelled = indexer.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-        fitted = classifier.fit(indexer.transform(rows))
+        fitted = classifier.fit(labelled)
     finally:
-        rows.unpersist()
+        labelled.unpersist()
     decode = IndexToString(inputCol="_prediction", outputCol=output, labels=indexer.labels)
     added = set(fitted.transform(rows).columns) - set(rows.columns)
     drop = ", ".join(["features", *sorted(added)])
     return PipelineModel(
-        [*stages.stages, fitted, decode, SQLTransformer(statement=f"select * except ({drop}) from __THIS__")]
+        [*stages.stages, *_flat(fitted), decode, SQLTransformer(statement=f"select * except ({drop}) from __THIS__")]
     )
 
 
+def _flat(model) -> list:
+    return model.stages if isinstance(model, PipelineModel) else [model]
+
+
 def _forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol="_label",
@@ -202,24 +256,24 @@ def train_table_classifier(
     ``variant='grid'``: entity grid, TF-IDF of title and content together
     (1000 terms, fitted here), scaled numbers.
     """
-    stages = _Stages(tables)
-    if variant == "grid":
-        parts = [
-            stages.entity_grid(),
-            stages.text(f"concat_ws(' ', layout_title_text, {_CONTENT})", "_words"),
-        ]
-        parts.append(stages.scaled(stages.numbers(_table_numbers(tables, table_types))))
-    elif variant == "pca":
-        numbers = stages.numbers(_table_numbers(tables, table_types))
-        parts = [
-            stages.reduced(stages.scaled(numbers), variance=variance),
-            stages.text(_CONTENT, "_content", content_vocabulary, 50),
-            stages.text("coalesce(layout_title_text, '')", "_title", title_vocabulary, 10),
-        ]
-    else:
-        raise ValueError("variant must be 'pca' or 'grid'")
-    stages.finish(parts)
-    return _fit_labels(stages, _forest(trees, depth, seed), label, output)
+    with _Stages(tables) as stages:
+        if variant == "grid":
+            parts = [
+                stages.entity_grid(),
+                stages.text(f"concat_ws(' ', layout_title_text, {_CONTENT})", "_words"),
+            ]
+            parts.append(stages.scaled(stages.numbers(_table_numbers(tables, table_types))))
+        elif variant == "pca":
+            numbers = stages.numbers(_table_numbers(tables, table_types))
+            parts = [
+                stages.reduced(stages.scaled(numbers), variance=variance),
+                stages.text(_CONTENT, "_content", content_vocabulary, 50),
+                stages.text("coalesce(layout_title_text, '')", "_title", title_vocabulary, 10),
+            ]
+        else:
+            raise ValueError("variant must be 'pca' or 'grid'")
+        stages.finish(parts)
+        return _fit_labels(stages, _forest(trees, depth, seed), label, output)
 
 
 def train_cell_classifier(
@@ -232,18 +286,18 @@ def train_cell_classifier(
     seed: int = 42,
 ) -> PipelineModel:
     """Random forest for the role of a cell: 13 scaled numbers and content TF-IDF."""
-    stages = _Stages(cells)
-    numbers = [
-        *CELL_BASE,
-        _code_sql("cell_type", CELL_TYPE_CODES),
-        _code_sql("entity_type", ENTITY_TYPE_CODES),
-    ]
-    parts = [
-        stages.scaled(stages.numbers(numbers)),
-        stages.text("cell_content", "_content", content_vocabulary, 50),
-    ]
-    stages.finish(parts)
-    return _fit_labels(stages, _forest(trees, depth, seed), label, output)
+    with _Stages(cells) as stages:
+        numbers = [
+            *CELL_BASE,
+            _code_sql("cell_type", CELL_TYPE_CODES),
+            _code_sql("entity_type", ENTITY_TYPE_CODES),
+        ]
+        parts = [
+            stages.scaled(stages.numbers(numbers)),
+            stages.text("cell_content", "_content", content_vocabulary, 50),
+        ]
+        stages.finish(parts)
+        return _fit_labels(stages, _forest(trees, depth, seed), label, output)
 
 
 def train_cell_role_svm(
@@ -263,23 +317,15 @@ def train_cell_role_svm(
         raise ValueError("text must be 'context' or 'all'")
     lists = [f"array_join({c}, ' ')" for c in _CONTEXTS]
     texts = lists if text == "context" else ["cell_content", *lists]
-    stages = _Stages(cells)
-    known = categories(cells, F.coalesce("table_class", F.lit("")))
-    classes = {value: code for code, value in enumerate(known)}
-    parts = [
-        stages.text(f"concat_ws(' ', {', '.join(texts)})", "_words", k=k),
-        stages.scaled(stages.numbers([_code_sql("coalesce(table_class, '')", classes)])),
-    ]
-    stages.finish(parts)
-    svm = LinearSVC(maxIter=iterations)
-    one_vs_rest = OneVsRest(
-        classifier=svm,
-        labelCol="_label",
-        featuresCol="features",
-        predictionCol="_prediction",
-        rawPredictionCol="_raw",
-    )
-    return _fit_labels(stages, one_vs_rest, label, output)
+    with _Stages(cells) as stages:
+        known = categories(cells, F.coalesce("table_class", F.lit("")))
+        classes = {value: code for code, value in enumerate(known)}
+        parts = [
+            stages.text(f"concat_ws(' ', {', '.join(texts)})", "_words", k=k),
+            stages.scaled(stages.numbers([_code_sql("coalesce(table_class, '')", classes)])),
+        ]
+        stages.finish(parts)
+        return _fit_labels(stages, OneAgainstRest(iterations), label, output)
 
 
 def predict_table_class(tables: DataFrame, model: PipelineModel, output: str = "table_class") -> DataFrame:
@@ -310,13 +356,13 @@ def cluster_features(
 ) -> PipelineModel:
     """Features for clustering: two components of the centred numbers, weighted
     content TF-IDF, title TF-IDF and the entity grid."""
-    stages = _Stages(tables)
-    numbers = stages.scaled(stages.numbers(_table_numbers(tables, None)), with_std=False)
-    parts = [
-        stages.reduced(numbers, k=components),
-        stages.text(_CONTENT, "_content", None, k_terms, content_weight, stop_words),
-        stages.text("coalesce(layout_title_text, '')", "_title", None, k_terms, 1.0, stop_words),
-        stages.entity_grid(),
-    ]
-    stages.finish(parts)
-    return PipelineModel(stages.stages)
+    with _Stages(tables) as stages:
+        numbers = stages.scaled(stages.numbers(_table_numbers(tables, None)), with_std=False)
+        parts = [
+            stages.reduced(numbers, k=components),
+            stages.text(_CONTENT, "_content", None, k_terms, content_weight, stop_words),
+            stages.text("coalesce(layout_title_text, '')", "_title", None, k_terms, 1.0, stop_words),
+            stages.entity_grid(),
+        ]
+        stages.finish(parts)
+        return PipelineModel(stages.stages)

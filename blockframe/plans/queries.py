@@ -723,3 +723,581 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     documents = fx.table(spark, sf_dir, "documents").select("doc_id", "source")
     return op.unmatched(documents, fx.table(spark, sf_dir, "labels"), "doc_id")
+
+
+# -- text ---------------------------------------------------------------------
+
+_TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+_STOP = ["and", "de", "in", "la", "that", "the", "to", "un"]
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in _STOP) + "]"
+_TOKS = f"toks as (select doc_id, unnest({_TOK}) as term from documents)"
+_TOKS_KEPT = f"toks as (select doc_id, term from (select doc_id, unnest({_TOK}) as term from documents) where not list_contains({_STOP_SQL}, term))"
+_STATS = "stats as (select term, count(*) as term_count, count(distinct doc_id) as document_count from toks group by term)"
+_VOCABULARY = (
+    "top as (select * from stats order by term_count desc, term limit {k}), "
+    "vocab as (select cast(row_number() over (order by term) - 1 as int) as term_index, term, term_count, document_count, "
+    "ln((1.0 + (select count(*) from documents)) / (1.0 + document_count)) + 1 as idf from top)"
+)
+_WEIGHTS = (
+    "tf as (select doc_id, term, count(*) as n from toks group by doc_id, term), "
+    "raw as (select doc_id, term, n * idf as x from tf join vocab using (term)), "
+    "norm as (select doc_id, sqrt(sum(x * x)) as size from raw group by doc_id)"
+)
+
+
+@query("tokenize", f"select doc_id, array_to_string({_TOK}, ' ') as tokens, cast(len({_TOK}) as bigint) as token_count from documents")
+def _(spark, sf_dir):
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", fn.tokenize("text").alias("t"))
+    return documents.select(
+        "doc_id", fn.join_words("t").alias("tokens"), F.size("t").cast("bigint").alias("token_count")
+    )
+
+
+@query(
+    "remove_stop_words",
+    f"select doc_id, array_to_string(list_filter({_TOK}, lambda t: not list_contains({_STOP_SQL}, t)), ' ') as tokens from documents",
+)
+def _(spark, sf_dir):
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.tokens(documents, "text", stop_words=_STOP).select("doc_id", fn.join_words("tokens").alias("tokens"))
+
+
+@query("corpus_stats", f"with {_TOKS}, {_STATS} select * from stats")
+def _(spark, sf_dir):
+    return op.corpus_stats(fx.table(spark, sf_dir, "documents"), "text")
+
+
+@query("top_terms", f"with {_TOKS}, {_STATS} select * from stats order by term_count desc, term limit 1000")
+def _(spark, sf_dir):
+    return op.top_terms(op.corpus_stats(fx.table(spark, sf_dir, "documents"), "text"), 1000)
+
+
+@query(
+    "fit_tfidf",
+    f"with {_TOKS_KEPT}, {_STATS}, {_VOCABULARY.format(k=50)} select term_index, term, term_count, document_count, round(idf, 6) as idf from vocab",
+)
+def _(spark, sf_dir):
+    vocabulary = op.fit_tfidf(fx.table(spark, sf_dir, "documents"), "text", 50, _STOP)
+    return vocabulary.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "transform_tfidf",
+    f"with {_TOKS}, {_STATS}, {_VOCABULARY.format(k=1000)}, {_WEIGHTS} select doc_id, term, round(x / size, 6) as weight from raw join norm using (doc_id)",
+)
+def _(spark, sf_dir):
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = op.fit_tfidf(documents, "text", 1000)
+    vectors = op.transform_tfidf(documents, vocabulary, "text")
+    return op.weights_long(vectors, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "transform_tfidf_weighted",
+    f"with {_TOKS_KEPT}, {_STATS}, {_VOCABULARY.format(k=50)}, {_WEIGHTS} select doc_id, term, round(0.2 * x / size, 6) as weight from raw join norm using (doc_id)",
+)
+def _(spark, sf_dir):
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = op.fit_tfidf(documents, "text", 50, _STOP)
+    vectors = op.transform_tfidf(documents, vocabulary, "text", weight=0.2, stop_words=_STOP)
+    return op.weights_long(vectors, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "flatten_content",
+    f"with {_ALL_CELLS}, r as (select source, table_id, row_index, string_agg(cell_content, ' ' order by column_index, rel_rank, pos) "
+    "filter (where cell_content <> '') as x from cells where cell_type = 'CHILD' group by source, table_id, row_index), "
+    "c as (select source, table_id, string_agg(x, ' ' order by row_index) as t from r group by source, table_id) "
+    "select source, table_id, case when cast(substr(table_id, 2) as bigint) % 3 = 0 then concat('[[not closed ', t) else t end as text from c",
+)
+def _(spark, sf_dir):
+    """Content as single-quoted text, every third table's text being unreadable."""
+    tables = op.table_content(fx.grid_cells(spark, sf_dir))
+    quoted = F.translate(F.to_json("content"), '"', "'")
+    broken = F.concat(F.lit("[[not closed "), fn.content_text("content"))
+    text = F.when(F.substring("table_id", 2, 20).cast("bigint") % 3 == 0, broken).otherwise(quoted)
+    return tables.select(*KEY, text.alias("c")).select(*KEY, fn.flatten_content("c").alias("text"))
+
+
+@query(
+    "text_functions",
+    f"with {GRID} select cell_id, concat(source, '.json') as name, concat(source, '.pdf') as pdf, "
+    "case when cell_content = '' then 0 else 1 end as has_content, "
+    "case when cell_content = '' then 'empty' else cell_content end as marked, "
+    "concat_ws(' ', nullif(cell_content, ''), table_id) as joined, "
+    "concat(cell_content, ' ', coalesce(entity_type, ''), ' ', table_id) as combined from grid",
+)
+def _(spark, sf_dir):
+    cells = fx.grid_cells(spark, sf_dir)
+    path = F.concat(F.lit("/in/ready/"), F.col("source"), F.lit(".json"))
+    return cells.select(
+        "cell_id",
+        fn.base_name(path).alias("name"),
+        fn.pdf_name(fn.base_name(path)).alias("pdf"),
+        fn.has_content("cell_content").alias("has_content"),
+        fn.words_or_marker("cell_words").alias("marked"),
+        fn.join_non_empty(F.array("cell_content", F.lit(""), "table_id")).alias("joined"),
+        fn.concat_text("cell_content", "entity_type", "table_id").alias("combined"),
+    )
+
+
+@query(
+    "type_codes",
+    f"with {GRID}, {MERGED} select cell_id, 0 as cell_type_code, case when entity_type = 'COLUMN_HEADER' then 1 else 0 end as entity_type_code from grid "
+    "union all select cell_id, 1, 0 from merged",
+)
+def _(spark, sf_dir):
+    return fx.grid_with_merged(spark, sf_dir).select(
+        "cell_id",
+        fn.cell_type_code("cell_type").alias("cell_type_code"),
+        fn.entity_type_code("entity_type").alias("entity_type_code"),
+    )
+
+
+# -- encoders -----------------------------------------------------------------
+
+
+@query(
+    "one_hot",
+    f"with {GRID}, t as (select source, table_id, max(table_type) as table_type from grid group by source, table_id) "
+    "select source, table_id, case when table_type = 'SEMI_STRUCTURED_TABLE' then 1 else 0 end as \"table_type_SEMI_STRUCTURED_TABLE\", "
+    "case when table_type = 'STRUCTURED_TABLE' then 1 else 0 end as \"table_type_STRUCTURED_TABLE\", "
+    "case when table_type is null then 1 else 0 end as \"table_type_None\" from t",
+)
+def _(spark, sf_dir):
+    tables = op.table_counts(fx.grid_cells(spark, sf_dir)).select(*KEY, "table_type")
+    return op.one_hot(tables, "table_type", op.categories(tables, "table_type")).drop("table_type")
+
+
+@query(
+    "label_encode",
+    "select p_partkey, cast(dense_rank() over (order by p_type) - 1 as int) as p_type_encoded from part",
+)
+def _(spark, sf_dir):
+    return op.label_encode(fx.table(spark, sf_dir, "part"), "p_type").select("p_partkey", "p_type_encoded")
+
+
+def _grid_tables(spark, sf_dir):
+    return op.table_entities(fx.grid_cells(spark, sf_dir))
+
+
+_CODES_SQL = (
+    f"with {GRID}, c as (select source, table_id, row_index, column_index, "
+    "case when entity_type = 'COLUMN_HEADER' then 1 else 2 end as code from grid)"
+)
+
+
+@query(
+    "encode_entities",
+    f"{_CODES_SQL}, r as (select source, table_id, row_index, string_agg(cast(code as varchar), ' ' order by column_index) as x "
+    "from c group by source, table_id, row_index) select source, table_id, string_agg(x, ' / ' order by row_index) as entities_int "
+    "from r group by source, table_id",
+)
+def _(spark, sf_dir):
+    tables = _grid_tables(spark, sf_dir)
+    coded = op.encode_entities(tables, op.entity_codes(tables))
+    text = F.array_join(
+        F.transform("entities_int", lambda r: F.array_join(F.transform(r, lambda e: e.cast("string")), " ")), " / "
+    )
+    return coded.select(*KEY, text.alias("entities_int"))
+
+
+@query("entity_categories", f"with {GRID} select distinct coalesce(entity_type, 'normal') as entity from grid")
+def _(spark, sf_dir):
+    return op.entity_categories(_grid_tables(spark, sf_dir))
+
+
+@query(
+    "grid_extent",
+    f"with {GRID} select cast(max(row_index) as int) as height, cast(max(column_index) as int) as width from grid",
+)
+def _(spark, sf_dir):
+    return op.grid_extent(_grid_tables(spark, sf_dir), "entities")
+
+
+@query(
+    "pad_and_flatten_grid",
+    f"{_CODES_SQL}, size as (select max(row_index) as h, max(column_index) as w from c), "
+    "t as (select distinct source, table_id from c), "
+    "places as (select source, table_id, r, k from t, size, unnest(range(1, h + 1)) as a(r), unnest(range(1, w + 1)) as b(k)) "
+    "select p.source, p.table_id, string_agg(cast(coalesce(c.code, 0) as varchar), ' ' order by r, k) as flat "
+    "from places p left join c on c.source = p.source and c.table_id = p.table_id and c.row_index = r and c.column_index = k "
+    "group by p.source, p.table_id",
+)
+def _(spark, sf_dir):
+    tables = _grid_tables(spark, sf_dir)
+    coded = op.encode_entities(tables, op.entity_codes(tables))
+    flat = op.padded_grid(coded, "entities_int", "flat", flat=True)
+    return flat.select(*KEY, F.array_join(F.transform("flat", lambda e: e.cast("string")), " ").alias("flat"))
+
+
+_SCALED_SQL = (
+    "select o_orderkey, round((o_totalprice - avg(o_totalprice) over ()) / stddev_pop(o_totalprice) over (), 6) as price, "
+    "round((o_custkey - avg(o_custkey) over ()) / stddev_pop(o_custkey) over (), 6) as customer, "
+    "cast(0 as double) as constant from orders"
+)
+
+
+def _numbers(spark, sf_dir):
+    return fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"), F.lit(7).alias("constant")
+    )
+
+
+@query("standard_scale", _SCALED_SQL)
+def _(spark, sf_dir):
+    numbers = _numbers(spark, sf_dir)
+    scaled = op.standard_scale(numbers, op.fit_scaling(numbers, ["price", "customer", "constant"]))
+    return scaled.select("o_orderkey", *[_rounded(c) for c in ("price", "customer", "constant")])
+
+
+@query("assemble_and_scale", _SCALED_SQL)
+def _(spark, sf_dir):
+    wide = op.assemble(_numbers(spark, sf_dir), ["price", "customer", "constant"])
+    values = vector_to_array("scaled")
+    scaled = op.fit_scaler(wide, "features", "scaled").transform(wide)
+    return scaled.select(
+        "o_orderkey",
+        *[F.round(values[i] + 0.0, 6).alias(c) for i, c in enumerate(("price", "customer", "constant"))],
+    )
+
+
+@query(
+    "pca_all_components",
+    "select o_orderkey, round(pow((o_totalprice - avg(o_totalprice) over ()) / stddev_pop(o_totalprice) over (), 2) + "
+    "pow((o_custkey - avg(o_custkey) over ()) / stddev_pop(o_custkey) over (), 2), 6) as squared_length from orders",
+)
+def _(spark, sf_dir):
+    """Keeping every component is a rotation, so lengths stay as they were."""
+    reduced = op.pca(_numbers(spark, sf_dir), ["price", "customer"], k=2, scale=True)
+    values = vector_to_array("pca")
+    return reduced.select("o_orderkey", F.round(values[0] * values[0] + values[1] * values[1], 6).alias("squared_length"))
+
+
+@query("pca_by_variance")
+def _(spark, sf_dir):
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    reduced = op.fit_pca(vectors, "v", "pca", variance=0.95).transform(vectors)
+    return reduced.select("vec_id", F.size(vector_to_array("pca")).alias("components"))
+
+
+# -- quality ------------------------------------------------------------------
+
+_PROFILE = [
+    ("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), ("o_totalprice", "double", True),
+    ("o_orderstatus", "string", False), ("urgent", "string", False),
+]
+
+
+@query(
+    "dataset_profile",
+    "with o as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus, "
+    "case when o_orderpriority = '1-URGENT' then 'yes' end as urgent from orders) "
+    + " union all ".join(
+        f"select '{c}' as column_name, '{t}' as data_type, count(*) as row_count, count(*) - count({c}) as null_count, "
+        + (f"cast(min({c}) as double) as min_value, cast(max({c}) as double) as max_value from o" if n
+           else "cast(null as double) as min_value, cast(null as double) as max_value from o")
+        for c, t, n in _PROFILE
+    ),
+)
+def _(spark, sf_dir):
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", "yes").alias("urgent")
+    orders = fx.table(spark, sf_dir, "orders")
+    return op.dataset_profile(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", urgent))
+
+
+@query(
+    "columns_with_nulls",
+    f"with {GRID} select 'entity_type' as column_name from grid having count(*) > count(entity_type) "
+    "union all select 'table_type' from grid having count(*) > count(table_type)",
+)
+def _(spark, sf_dir):
+    return op.columns_with_nulls(fx.grid_cells(spark, sf_dir))
+
+
+@query(
+    "confusion_counts",
+    "select cast(quality as varchar) as label, cast(toxic as varchar) as prediction, count(*) as n from labels group by 1, 2",
+)
+def _(spark, sf_dir):
+    return op.confusion_counts(fx.table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+def _report_sql(label: str, prediction: str, source: str) -> str:
+    return (
+        f"with p as (select {label} as y, {prediction} as z from {source}), "
+        "c as (select y as class from p union select z from p), "
+        "m as (select class, (select count(*) from p where y = class and z = class) as tp, "
+        "(select count(*) from p where z = class) as pp, (select count(*) from p where y = class) as support from c), "
+        "s as (select class, case when pp = 0 then 0.0 else tp / pp end as p, case when support = 0 then 0.0 else tp / support end as r, "
+        "case when pp + support = 0 then 0.0 else 2.0 * tp / (pp + support) end as f, support, tp from m), "
+        "u as (select cast(class as varchar) as class, p, r, f, support from s union all "
+        "select 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) from s union all "
+        "select 'macro avg', avg(p), avg(r), avg(f), sum(support) from s union all "
+        "select 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), sum(support) from s) "
+        "select class, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1_score, cast(support as bigint) as support from u"
+    )
+
+
+def _report(df, label, prediction):
+    measures = ("precision", "recall", "f1_score")
+    return op.classification_report(df, label, prediction).withColumns({m: F.round(m, 6) for m in measures})
+
+
+@query("classification_report", _report_sql("quality", "toxic", "labels"))
+def _(spark, sf_dir):
+    return _report(fx.table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query(
+    "classification_report_classes",
+    _report_sql("o_orderpriority", "case when o_orderkey % 3 = 0 then '2-HIGH' when o_orderkey % 7 = 0 then 'other' else o_orderpriority end", "orders"),
+)
+def _(spark, sf_dir):
+    key = F.col("o_orderkey")
+    guess = F.when(key % 3 == 0, "2-HIGH").when(key % 7 == 0, "other").otherwise(F.col("o_orderpriority"))
+    return _report(fx.table(spark, sf_dir, "orders").withColumn("guess", guess), "o_orderpriority", "guess")
+
+
+@query(
+    "hash_split",
+    "select doc_id, case when cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 8)) as bigint) % 100 < 75 "
+    "then 'train' else 'test' end as part from documents",
+)
+def _(spark, sf_dir):
+    train, test = op.hash_split(fx.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query(
+    "best_k",
+    "select p_size as best_k, round(avg(p_retailprice), 6) as silhouette from part group by p_size "
+    "order by avg(p_retailprice) desc, p_size limit 1",
+)
+def _(spark, sf_dir):
+    """The choice itself, on scores made from the parts table."""
+    scores = fx.table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.avg("p_retailprice").alias("silhouette"))
+    return op.best_k(scores).withColumn("silhouette", F.round("silhouette", 6))
+
+
+# -- annotation ---------------------------------------------------------------
+
+_BOX_SQL = (
+    "round(cast({l} * 612.0 as double), 6) as abs_left, round(cast({t} * 792.0 as double), 6) as abs_top, "
+    "round(cast({l} * 612.0 + {w} * 612.0 as double), 6) as abs_right, "
+    "round(cast({t} * 792.0 + {h} * 792.0 as double), 6) as abs_bottom"
+)
+
+
+def _colours_sql(column: str, mapping: dict, default=None) -> str:
+    parts = []
+    for i, name in enumerate(("red", "green", "blue")):
+        arms = " ".join(f"when '{k}' then {v[i]}" for k, v in mapping.items())
+        other = "" if default is None else f" else {default[i]}"
+        parts.append(f"cast(case {column} {arms}{other} end as double) as {name}")
+    return ", ".join(parts)
+
+
+_CLASSES = (
+    "k as (select source, table_id, max(table_page) as table_page, max(table_left) as l, max(table_top) as t, max(table_width) as w, "
+    "max(table_height) as h, case when max(row_index) > 6 then 'BIGRID_STACKED' when max(row_index) > 4 then 'BIGRID' "
+    "when max(row_index) > 2 then 'KVP' else 'OTHER' end as table_class from grid group by source, table_id)"
+)
+_BOX_COLUMNS = ["abs_left", "abs_top", "abs_right", "abs_bottom", "red", "green", "blue"]
+
+
+def _classed_tables(cells):
+    rows = F.col("row_count")
+    table_class = F.when(rows > 6, "BIGRID_STACKED").when(rows > 4, "BIGRID").when(rows > 2, "KVP").otherwise("OTHER")
+    return op.table_counts(cells).withColumn("table_class", table_class)
+
+
+@query(
+    "annotate_tables",
+    f"with {GRID}, {_CLASSES} select table_id, table_class, source, table_page, {_BOX_SQL.format(l='l', t='t', w='w', h='h')}, "
+    f"{_colours_sql('table_class', fn.TABLE_COLOURS, (0.5, 0.5, 0.5))}, 2 as line_width from k where table_page between 1 and 40",
+)
+def _(spark, sf_dir):
+    cells = fx.grid_cells(spark, sf_dir)
+    boxes = op.annotate_tables(_classed_tables(cells), fx.page_sizes(cells))
+    return boxes.select("table_id", "table_class", "source", "table_page", "line_width", *[_rounded(c) for c in _BOX_COLUMNS])
+
+
+@query(
+    "rejected_pages",
+    f"with {GRID}, {_CLASSES} select source, table_id, table_page from k where not (table_page between 1 and 40)",
+)
+def _(spark, sf_dir):
+    cells = fx.grid_cells(spark, sf_dir)
+    return op.rejected_pages(_classed_tables(cells), fx.page_sizes(cells)).select(*KEY, "table_page")
+
+
+_ROLE_SQL = (
+    "case when row_index = 1 and column_index = 1 then 'title' when row_index = 1 then 'key' when column_index = 1 then 'y1' "
+    "when cell_content = '' then 'empty' when column_index = 3 then 'comment' else 'value' end"
+)
+_CELL_BOX = _BOX_SQL.format(l="((column_index - 1) * 0.2)", t="((row_index % 40) * 0.02)", w="0.2", h="0.02")
+
+
+def _roles(cells):
+    return cells.withColumn("cell_role", F.expr(_ROLE_SQL))
+
+
+@query(
+    "annotate_cells",
+    f"with {GRID}, c as (select *, {_ROLE_SQL} as cell_role from grid) select cell_id, cell_role, source, table_page, {_CELL_BOX}, "
+    f"{_colours_sql('cell_role', fn.CELL_COLOURS)}, 1 as line_width from c where table_page between 1 and 40 and cell_role <> 'comment'",
+)
+def _(spark, sf_dir):
+    cells = _roles(fx.grid_cells(spark, sf_dir))
+    boxes = op.annotate_cells(cells, fx.page_sizes(cells))
+    return boxes.select("cell_id", "cell_role", "source", "table_page", "line_width", *[_rounded(c) for c in _BOX_COLUMNS])
+
+
+@query(
+    "annotate_tagged_cells",
+    f"with {GRID}, c as (select *, {_ROLE_SQL} as cell_role from grid), t as (select source, table_id from grid group by source, table_id "
+    f"having max(row_index) > 4) select table_id, cell_id, cell_role, source, table_page, {_CELL_BOX}, "
+    f"{_colours_sql('cell_role', fn.TAGGED_CELL_COLOURS, (0.75, 0.75, 0.75))}, 1 as line_width from c join t using (source, table_id) "
+    "where table_page between 1 and 40",
+)
+def _(spark, sf_dir):
+    cells = _roles(fx.grid_cells(spark, sf_dir))
+    tables = op.table_counts(cells).filter("row_count > 4")
+    boxes = op.annotate_tagged_cells(tables, cells, fx.page_sizes(cells))
+    return boxes.select("table_id", "cell_id", "cell_role", "source", "table_page", "line_width", *[_rounded(c) for c in _BOX_COLUMNS])
+
+
+# -- streaming ----------------------------------------------------------------
+
+
+@query(
+    "match_notifications",
+    "select event_id, case when event_id % 7 = 0 then null else concat('job', cast(user_id as varchar)) end as job_id, "
+    "case when event_id % 7 = 0 then null else event_type end as status, "
+    "case when event_id % 7 <> 0 and user_id % 3 = 0 then 1 else 0 end as matched from events",
+)
+def _(spark, sf_dir):
+    events = fx.table(spark, sf_dir, "events")
+    job = F.concat(F.lit("job"), F.col("user_id").cast("string"))
+    message = F.to_json(F.struct(job.alias("JobId"), F.col("event_type").alias("Status")))
+    body = F.when(F.col("event_id") % 7 == 0, "not json").otherwise(F.to_json(F.struct(message.alias("Message"))))
+    jobs = events.filter("user_id % 3 = 0").select(job.alias("job_id"))
+    ours, others = streaming.match_notifications(events.select("event_id", body.alias("Body")), jobs)
+    return (
+        ours.withColumn("matched", F.lit(1))
+        .unionByName(others.withColumn("matched", F.lit(0)))
+        .select("event_id", "job_id", "status", "matched")
+    )
+
+
+@query("stream_blocks", _BLOCK_CELLS_SQL)
+def _(spark, sf_dir):
+    """Documents written as files, taken in as a stream, cells read from the sink."""
+    folder, sink, progress = (scratch_path(spark, n) for n in ("incoming", "cells", "progress"))
+    graph = fx.block_graph(spark, sf_dir, layout=False)
+    number = F.floor(F.substring("document", 2, 20).cast("bigint") / 500)
+    block = F.struct(*[c for c in graph.columns if c not in ("source", "document", "pos")])
+    # At most 500 tables a document, so a document stays a bounded group.
+    (
+        graph.groupBy("source", F.concat_ws("-", "source", number).alias("name"))
+        .agg(F.collect_list(block).alias("b"))
+        .select("source", "name", F.to_json("b").alias("value"))
+        .write.partitionBy("source", "name")
+        .text(folder)
+    )
+    blocks = streaming.stream_blocks(spark, f"{folder}/*/*", files_per_batch=200, pattern=r"source=([^/]+)/")
+    streaming.write_stream(blocks, sink, progress, available_now=True).awaitTermination()
+    cells = spark.read.parquet(sink)
+    return cells.select(*_BLOCK_CELL_COLUMNS, _rounded("cell_left"), _rounded("table_width"))
+
+
+# -- whole plans and learning -------------------------------------------------
+
+
+@query(
+    "prepare_documents",
+    _BEST.rstrip()
+    + f", {GRID}, {MERGED}, {_CAPTIONS}, u as (select source, table_id, 'CHILD' as cell_type, row_index, column_index from grid union all "
+    "select source, table_id, 'MERGED_CELL', row_index, column_index from merged union all select source, table_id, cell_type, 0, 0 from caps), "
+    "n as (select source, table_id, count(*) as cell_count, count(*) filter (where cell_type = 'CHILD') as child_count, "
+    "count(*) filter (where cell_type = 'MERGED_CELL') as merged_cell_count, count(*) filter (where cell_type = 'TABLE_TITLE') as table_title_count, "
+    "count(*) filter (where cell_type = 'TABLE_FOOTER') as table_footer_count, max(row_index) as row_count, max(column_index) as column_count "
+    "from u group by source, table_id), a as (select source, table_id, max(table_page) as table_page from grid group by source, table_id) "
+    "select n.*, a.table_page, r.layout_title_text from n join a using (source, table_id) "
+    "left join r on r.source = a.source and r.layout_title_page = a.table_page and r.rn = 1",
+)
+def _(spark, sf_dir):
+    from .documents import prepare_documents
+
+    tables = prepare_documents(_graph(spark, sf_dir)).tables
+    return tables.select(
+        *KEY, "cell_count", "child_count", "merged_cell_count", "table_title_count", "table_footer_count",
+        "row_count", "column_count", "table_page", "layout_title_text",
+    )
+
+
+def _titled_tables(spark, sf_dir):
+    tables = op.summarize_tables(fx.grid_with_merged(spark, sf_dir))
+    titled = op.attach_page_title(tables, fx.titles(spark, sf_dir), ties="first")
+    rows = F.col("row_count")
+    return titled.withColumn("table_class", F.when(rows > 6, "BIGRID_STACKED").when(rows > 3, "BIGRID").otherwise("KVP"))
+
+
+def _scored_report(train, test, model, label, predict):
+    scored = predict(test, model, output="prediction")
+    return op.classification_report(scored, label, "prediction")
+
+
+@query("train_table_classifier")
+def _(spark, sf_dir):
+    train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
+    model = op.train_table_classifier(train, trees=10, depth=8)
+    return _scored_report(train, test, model, "table_class", op.predict_table_class)
+
+
+@query("train_table_classifier_grid")
+def _(spark, sf_dir):
+    train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
+    model = op.train_table_classifier(train, variant="grid", trees=10, depth=8)
+    return _scored_report(train, test, model, "table_class", op.predict_table_class)
+
+
+def _cells_with_context(spark, sf_dir):
+    cells = _roles(fx.grid_cells(spark, sf_dir))
+    from .documents import cell_features
+
+    return cell_features(cells, _classed_tables(fx.grid_cells(spark, sf_dir)))
+
+
+@query("train_cell_classifier")
+def _(spark, sf_dir):
+    train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id")
+    model = op.train_cell_classifier(train, trees=5, depth=8)
+    return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
+
+
+@query("train_cell_role_svm")
+def _(spark, sf_dir):
+    train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
+    model = op.train_cell_role_svm(train, k=100, iterations=5)
+    return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
+
+
+@query("train_cell_role_svm_all_text")
+def _(spark, sf_dir):
+    train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
+    model = op.train_cell_role_svm(train, text="all", k=100, iterations=5)
+    return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
+
+
+@query("cluster_tables")
+def _(spark, sf_dir):
+    clustered, _ = op.cluster_tables(_titled_tables(spark, sf_dir), k_terms=100)
+    return clustered.select(*KEY, "cluster_weighted")
+
+
+@query("silhouette_scores")
+def _(spark, sf_dir):
+    vectors = fx.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
+    return op.silhouette_scores(vectors)

@@ -29,16 +29,25 @@ def decode_documents(documents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     )
 
 
-def text_documents(reader, paths) -> DataFrame:
-    """Whole files as ``(source, value)``; ``reader`` is a batch or stream text reader."""
-    return reader.text(paths, wholetext=True).select(
-        base_name(F.col("_metadata.file_path")).alias("source"), "value"
-    )
+def name_documents(files: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Whole text files as ``(source, value)``.
+
+    The source is the file name, or group 1 of ``pattern`` found in the path
+    when each document has a folder of its own.
+    """
+    if pattern is None:
+        source = base_name(F.col("_metadata.file_name"))
+    else:
+        source = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    return files.select(source.alias("source"), "value")
 
 
-def read_blocks(spark: SparkSession, paths, mode: str = "FAILFAST") -> DataFrame:
-    """Read files that each hold one JSON array of blocks, tagged by file name."""
-    return decode_documents(text_documents(spark.read, paths), mode)
+def read_blocks(
+    spark: SparkSession, paths, mode: str = "FAILFAST", pattern: str | None = None
+) -> DataFrame:
+    """Read files that each hold one JSON array of blocks, tagged by document name."""
+    files = spark.read.text(paths, wholetext=True)
+    return decode_documents(name_documents(files, pattern), mode)
 
 
 def decode_responses(responses: DataFrame, mode: str = "FAILFAST") -> DataFrame:
