@@ -26,20 +26,35 @@ def table_counts(cells: DataFrame, grid_size: str = "max") -> DataFrame:
     Everything is combined before the shuffle, so table size does not matter.
     ``grid_size='distinct'`` counts distinct indices instead of taking the largest.
     """
-    if grid_size == "max":
-        rows, columns = F.max("row_index"), F.max("column_index")
-    elif grid_size == "distinct":
-        rows = F.count_distinct("row_index").cast("int")
-        columns = F.count_distinct("column_index").cast("int")
-    else:
+    if grid_size not in ("max", "distinct"):
         raise ValueError("grid_size must be 'max' or 'distinct'")
-    return cells.groupBy(*TABLE_KEY).agg(
-        *[F.max(c).alias(c) for c in _MAXIMA],
+    # The first level groups by the text column ``table_type`` as well: it is
+    # the only maximum that hash aggregation cannot update in place, and it has
+    # one value per table, so the second level sees about one row per table.
+    numbers = [c for c in _MAXIMA if c != "table_type"]
+    by_type = cells.groupBy(*TABLE_KEY, "table_type").agg(
+        *[F.max(c).alias(c) for c in numbers],
         F.count("cell_words").alias("cell_count"),
-        rows.alias("row_count"),
-        columns.alias("column_count"),
+        F.max("row_index").alias("row_count"),
+        F.max("column_index").alias("column_count"),
         *[F.count_if(F.col("cell_type") == t).alias(n) for n, t in _COUNTS.items()],
     )
+    counts = by_type.groupBy(*TABLE_KEY).agg(
+        *[F.max(c).alias(c) for c in _MAXIMA],
+        F.sum("cell_count").alias("cell_count"),
+        F.max("row_count").alias("row_count"),
+        F.max("column_count").alias("column_count"),
+        *[F.sum(n).alias(n) for n in _COUNTS],
+    )
+    if grid_size == "max":
+        return counts
+    distinct = cells.groupBy(*TABLE_KEY).agg(
+        F.count_distinct("row_index").cast("int").alias("row_count"),
+        F.count_distinct("column_index").cast("int").alias("column_count"),
+    )
+    return (
+        counts.drop("row_count", "column_count").join(distinct, TABLE_KEY).select(*counts.columns)
+    )
 
 
 def table_content(cells: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import base_name
 from .schema import BLOCK, RESPONSE
 
 _PAGE_STRIDE = 1 << 32
@@ -29,6 +28,11 @@ def decode_documents(documents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     )
 
 
+def _plain(path: str) -> Column:
+    """A file metadata path without URI escapes (a plus sign is not one)."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
 def name_documents(files: DataFrame, pattern: str | None = None) -> DataFrame:
     """Whole text files as ``(source, value)``.
 
@@ -36,9 +40,9 @@ def name_documents(files: DataFrame, pattern: str | None = None) -> DataFrame:
     when each document has a folder of its own.
     """
     if pattern is None:
-        source = base_name(F.col("_metadata.file_name"))
+        source = _plain("_metadata.file_name")
     else:
-        source = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+        source = F.regexp_extract(_plain("_metadata.file_path"), pattern, 1)
     return files.select(source.alias("source"), "value")
 
 
@@ -84,7 +88,7 @@ def read_block_pages(
     ``pattern`` takes the document name (group 1) and the number (group 2) from
     the path, so both ``doc-1.json, doc-2.json`` and ``doc/1, doc/2`` work.
     """
-    path = F.col("_metadata.file_path")
+    path = _plain("_metadata.file_path")
     files = spark.read.text(paths, wholetext=True).select(
         F.regexp_extract(path, pattern, 1).alias("source"),
         F.regexp_extract(path, pattern, 2).cast("long").alias("page_no"),
