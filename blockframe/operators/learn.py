@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import CELL_TYPE_CODES, ENTITY_TYPE_CODES
 from .encode import categories, entity_codes, fit_pca, fit_scaler, grid_extent
 from .shape import TABLE_NUMBERS
-from .text_features import MODEL_TERMS, fit_tfidf, tfidf_model
+from .text_features import MODEL_TERMS, drop_stage, fit_tfidf, tfidf_model
 
 CELL_BASE = [
     "cell_width", "cell_height", "cell_left", "cell_top", "row_index", "column_index",
@@ -150,8 +150,9 @@ class _Stages:
 
     def finish(self, parts: list[str], output: str = "features") -> str:
         self.add(VectorAssembler(inputCols=parts, outputCol=output))
-        kept = ", ".join(f"`{c}`" for c in [*self.kept, output])
-        self.add(SQLTransformer(statement=f"select {kept} from __THIS__"))
+        # Named by what goes, not by what stays: data to score has no label.
+        steps = [c for c in self.df.columns if c not in self.kept and c != output]
+        self.add(drop_stage(*steps))
         return output
 
 
@@ -204,9 +205,8 @@ def _fit_labels(stages: _Stages, classifier, label: str, output: str) -> Pipelin
         labelled.unpersist()
     decode = IndexToString(inputCol="_prediction", outputCol=output, labels=indexer.labels)
     added = set(fitted.transform(rows).columns) - set(rows.columns)
-    drop = ", ".join(["features", *sorted(added)])
     return PipelineModel(
-        [*stages.stages, *_flat(fitted), decode, SQLTransformer(statement=f"select * except ({drop}) from __THIS__")]
+        [*stages.stages, *_flat(fitted), decode, drop_stage("features", *sorted(added))]
     )
 
 

@@ -133,12 +133,13 @@ def tfidf_model(
         ElementwiseProduct(
             inputCol=unit, outputCol=output, scalingVec=Vectors.dense([weight] * len(terms))
         ),
-        _drop(tok, *([kept] if stop_words else []), tf, idf, unit),
+        drop_stage(tok, *([kept] if stop_words else []), tf, idf, unit),
     ]
     return PipelineModel(stages)
 
 
-def _drop(*columns: str) -> SQLTransformer:
+def drop_stage(*columns: str) -> SQLTransformer:
+    """Pipeline stage that removes working columns."""
     return SQLTransformer(statement=f"select * except ({', '.join(columns)}) from __THIS__")
 
 
