@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a token is a run of two or more word characters.
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+TOKEN_PATTERN = r"(?U)\w{2,}"
 
 CONTENT_TYPE = "array<array<array<string>>>"
 ENTITIES_TYPE = "array<array<string>>"

@@ -14,8 +14,8 @@ from ..functions.geometry import box_columns
 from ..functions.text import join_words
 from ..sources.blocks import dedupe_blocks
 
-# Types that are never a cell of a table; their child edges are not read when
-# words are gathered (lines and pages alone repeat every word of a document).
+# Types that are never a cell of a table.  They make up most of a document, so
+# they are left out before anything is joined or shuffled.
 _NEVER_CELLS = ("PAGE", "LINE", "WORD", "TABLE")
 
 _REL_STRIDE = 1 << 32
@@ -62,14 +62,23 @@ def block_edges(blocks: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def table_cells(blocks: DataFrame) -> DataFrame:
+def _cell_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.filter(~F.col("BlockType").isin(*_NEVER_CELLS))
+
+
+def _unique(blocks: DataFrame, dedupe: bool) -> DataFrame:
+    return dedupe_blocks(blocks) if dedupe else blocks
+
+
+def table_cells(blocks: DataFrame, dedupe: bool = False) -> DataFrame:
     """Cells of every table: one row per table, relation and known cell id.
 
     ``rel_rank`` and ``pos`` keep the order in which a table lists its cells:
-    relation type in fixed order, then place in the id lists.
+    relation type in fixed order, then place in the id lists.  With ``dedupe``
+    the last block of an id counts.
     """
     box = F.col("Geometry.BoundingBox")
-    tables = blocks_of_type(blocks, "TABLE").select(
+    tables = _unique(blocks_of_type(blocks, "TABLE"), dedupe).select(
         "*",
         first_entity().alias("table_type"),
         *box_columns(box, "table"),
@@ -85,7 +94,7 @@ def table_cells(blocks: DataFrame) -> DataFrame:
         .withColumn("pos", F.col("rel_pos") * F.lit(_REL_STRIDE) + F.col("id_pos"))
         .drop("rel_pos", "id_pos")
     )
-    cells = blocks.select(
+    cells = _unique(_cell_blocks(blocks), dedupe).select(
         "source",
         F.col("Id").alias("child_id"),
         first_entity().alias("entity_type"),
@@ -102,7 +111,9 @@ def table_cells(blocks: DataFrame) -> DataFrame:
     )
 
 
-def cell_words(blocks: DataFrame, include_selection: bool = False) -> DataFrame:
+def cell_words(
+    blocks: DataFrame, include_selection: bool = False, dedupe: bool = False
+) -> DataFrame:
     """Ordered word list of each block that can be a cell and has words.
 
     Child ids without a block or without text are dropped.  With
@@ -111,12 +122,10 @@ def cell_words(blocks: DataFrame, include_selection: bool = False) -> DataFrame:
     text = F.col("Text")
     if include_selection:
         text = F.coalesce(text, F.col("SelectionStatus"))
-    words = blocks.select("source", F.col("Id").alias("child_id"), text.alias("text")).filter(
-        "text is not null"
-    )
-    edges = block_edges(blocks.filter(~F.col("BlockType").isin(*_NEVER_CELLS))).filter(
-        "rel_type = 'CHILD'"
+    words = _unique(blocks.filter(text.isNotNull()), dedupe).select(
+        "source", F.col("Id").alias("child_id"), text.alias("text")
     )
+    edges = block_edges(_unique(_cell_blocks(blocks), dedupe)).filter("rel_type = 'CHILD'")
     return (
         edges.join(words, ["source", "child_id"])
         .groupBy("source", F.col("parent_id").alias("cell_id"))
@@ -131,13 +140,11 @@ def cells_from_blocks(
     """The cells dataset of a block graph.
 
     Give ``dedupe=False`` when ids are known to be unique per source; it saves
-    a shuffle of all blocks.
+    sorting the blocks before their shuffle.
     """
-    if dedupe:
-        blocks = dedupe_blocks(blocks)
-    words = cell_words(blocks, include_selection)
+    words = cell_words(blocks, include_selection, dedupe)
     return (
-        table_cells(blocks)
+        table_cells(blocks, dedupe)
         .join(words, ["source", "cell_id"], "left")
         .withColumn("cell_words", F.coalesce("cell_words", F.array().cast("array<string>")))
         .withColumn("cell_content", join_words("cell_words"))
