@@ -39,3 +39,13 @@ def split_hot(df: DataFrame, hot: DataFrame, keys=TABLE_KEY) -> tuple[DataFrame,
     """
     small = F.broadcast(hot)
     return df.join(small, keys, "left_anti"), df.join(small, keys, "left_semi")
+
+
+def own_shuffle(df: DataFrame, keys) -> DataFrame:
+    """Give a lookup side of a join its own shuffle.
+
+    Adaptive execution splits a skewed join partition only when both sides come
+    straight from a shuffle; an aggregated side would otherwise bring its
+    partitioning along and pin a hot key to one task.
+    """
+    return df.repartition(*keys)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -512,8 +512,6 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Documents cut into numbered responses of six blocks; order is restored."""
-    from pyspark.sql import Window
-
     graph = op.blocks_of_type(fx.block_graph(spark, sf_dir, layout=False), "CELL")
     block = F.struct(*[c for c in graph.columns if c not in ("source", "document", "pos")])
     place = F.row_number().over(Window.partitionBy("source", "document").orderBy("pos")) - 1
@@ -670,9 +668,13 @@ def _(spark, sf_dir):
     return op.in_page_order(rows).select("source", "table_page", "layout_title_id")
 
 
-@query("preview")
+@query(
+    "preview",
+    f"with {GRID} select table_id, column_index, row_index, cell_id from grid order by table_id, column_index, row_index limit 5",
+)
 def _(spark, sf_dir):
-    return op.preview(fx.titles(spark, sf_dir), 5)
+    cells = op.in_cell_order(fx.grid_cells(spark, sf_dir))
+    return op.preview(cells, 5).select("table_id", "column_index", "row_index", "cell_id")
 
 
 # -- joins --------------------------------------------------------------------

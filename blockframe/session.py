@@ -33,13 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     Where the setting is absent (tests, notebooks on one machine) a fresh
     temporary folder is used.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="blockframe-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="blockframe-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

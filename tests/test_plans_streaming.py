@@ -89,3 +89,20 @@ def test_graph_round_trip_gives_the_grid(spark, sf_dir):
     columns = [*q.KEY, "cell_id", "cell_content", "row_index", "column_index", "entity_type", "cell_words"]
     grid = fx.grid_cells(spark, sf_dir).select(*columns)
     assert cells.select(*columns).exceptAll(grid).isEmpty() and cells.count() == grid.count()
+
+
+def test_shared_folder_follows_the_setting(spark):
+    from blockframe import session
+
+    folder = session.shared_folder(spark)
+    assert folder == session.shared_folder(spark) and folder
+    named = {"spark.checkpoint.dir": "/shared/stages"}
+
+    class Conf:
+        def get(self, key, default=None):
+            return named.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    assert session.scratch_path(Session(), "x").startswith("/shared/stages/x-")
