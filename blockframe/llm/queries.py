@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import sharding, url_filters
+from blockframe.llm import sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
 
@@ -16,8 +16,18 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_url_filters": op4_url_filters,
+    "op7_simhash": op7_simhash,
+    "op10_substring": op10_substring,
 }
 ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL}

@@ -49,7 +49,9 @@ PATTERNS = (
     Rule("*/login/", "^[^/]*/([^/]*/)*login(/|$)", "block", ("login",), 0),
     Rule("*/cart/", "^[^/]*/([^/]*/)*cart(/|$)", "block", ("cart",), 0),
     Rule("ads.*", "^([^/]*\\.)?ads[.-]", "block", ("ads",), 0),
+    Rule("adult.*", "^([^/]*\\.)?adult[.-]", "block", ("adult",), 0),
     Rule("casino.*", "^([^/]*\\.)?casino[.-]", "block", ("casino",), 0),
+    Rule("*bets.*", "^([^/]*[.-])?bets[.-]", "block", ("bets",), 0),
 )
 
 
@@ -135,6 +137,7 @@ f as (select host, path, max_by(struct_pack(n := rh || rp, v := verdict), length
       group by host, path)
 select p.page_id, p.host, p.path, best.n as rule,
        coalesce(best.v, case when regexp_matches(p.host || p.path, '^[^/]*/([^/]*/)*(login|cart)(/|$)')
-                               or regexp_matches(p.host || p.path, '^([^/]*\.)?(ads|casino)[.-]') then 'block' else 'allow' end) as verdict
+                               or regexp_matches(p.host || p.path, '^([^/]*\.)?(ads|adult|casino)[.-]')
+                               or regexp_matches(p.host || p.path, '^([^/]*[.-])?bets[.-]') then 'block' else 'allow' end) as verdict
 from p left join f on p.host = f.host and p.path = f.path
 """
