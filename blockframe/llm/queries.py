@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import sharding, simhash, substring, url_filters
+from blockframe.llm import hmm, packing, sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
 
+#: The tokenizer file; a package that every machine has.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -16,10 +21,18 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -27,7 +40,9 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_url_filters": op4_url_filters,
+    "op6_hmm": op6_hmm,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
     "op10_substring": op10_substring,
 }
 ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL}

@@ -80,9 +80,9 @@ class _Chunk:
     """Documents of a chunk in order, with the hashes of all their windows."""
 
     def __init__(self, rows: pd.DataFrame, window: int, hashes: bool = True) -> None:
-        rows = rows.sort_values(["doc_id", "text"], na_position="first", kind="stable")
-        self.texts = rows["text"].tolist()
-        self.ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"].tolist()]
+        found = sorted((i is not None, int(i or 0), t) for i, t in zip(rows["doc_id"].tolist(), rows["text"].tolist()))
+        self.texts = [t for _, _, t in found]
+        self.ids = [i if named else None for named, i, _ in found]
         firsts, seconds, counts = [], [], []
         self.words = None if hashes else [t.encode().split() for t in self.texts]
         for t in self.texts if hashes else ():
@@ -132,7 +132,8 @@ def remove_repeats(
     block_width = -(-width // blocks)
     bucket_width = -(-(1 << 64) // blocks)
     key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks))
-    dealt = rows.select(key.alias("chunk"), "doc_id", "text").repartition(max(parts, -(-size // (64 << 20))), "chunk")
+    # Ids go to Python as strings, since pandas would make null and whole numbers floats.
+    dealt = rows.select(key.alias("chunk"), F.col("doc_id").cast("string"), "text").repartition(max(parts, -(-size // (64 << 20))), "chunk")
 
     def cells(first: np.ndarray, row: int) -> np.ndarray:
         turned = first * np.uint64(STEPS[row % 2] + 2 * row) if row else first
@@ -224,7 +225,7 @@ def remove_repeats(
             text = b" ".join(kept)
             out.append((own.ids[n], len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()))
         frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-        return frame.astype({"doc_id": "Int64"})
+        return frame.astype({"doc_id": "Int64"})  # whole numbers with nulls
 
     by_chunk = dealt.groupBy("chunk")
     touched = by_chunk.applyInPandas(sketch, "chunk long, block long, cells binary")
