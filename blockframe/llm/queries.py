@@ -5,10 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import hmm, packing, sharding, simhash, substring, url_filters
+from blockframe.llm import decontaminate, hmm, packing, quality, sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
-
 #: The tokenizer file; a package that every machine has.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,10 +16,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +46,9 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op4_url_filters": op4_url_filters,
+    "op5_decontamination": op5_decontamination,
     "op6_hmm": op6_hmm,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
