@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import decontaminate, hmm, packing, quality, sharding, simhash, substring, url_filters
+from blockframe.llm import decontaminate, fingerprints, hmm, packing, quality, sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
 #: The tokenizer file; a package that every machine has.
@@ -40,6 +40,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_hmm": op6_hmm,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_substring": op10_substring,
 }
 ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL}
