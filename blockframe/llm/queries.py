@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import decontaminate, fingerprints, hmm, packing, quality, sharding, simhash, substring, url_filters
+from blockframe.llm import decontaminate, fingerprints, hmm, packing, pii, quality, sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
 #: The tokenizer file; a package that every machine has.
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
     "op6_hmm": op6_hmm,
