@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,19 +281,21 @@ def benchmark_passages(
     )
 
 
+def _holds(finder: Broadcast, text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found: list[bool] = []
+            for a in range(0, len(batch), 500):
+                found += [bool(x) for x in finder.value.find(batch.iloc[a : a + 500].tolist())]
+            yield pd.Series(found, dtype=bool)
+
+    return holds(text)
+
+
 def holds_benchmark(text: Column, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> Column:
     """Whether a text holds any benchmark item; see ``benchmark_passages``."""
     context, out = benchmark.sparkSession.sparkContext, F.lit(False)
     for block in _blocks(benchmark, "item_id", "text", ITEMS):
-        finder = context.broadcast(Finder(block, similarity, recall))
-
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], finder=finder) -> Iterator[pd.Series]:
-            for batch in batches:
-                found: list[bool] = []
-                for a in range(0, len(batch), 500):
-                    found += [bool(x) for x in finder.value.find(batch.iloc[a : a + 500].tolist())]
-                yield pd.Series(found, dtype=bool)
-
-        out = out | holds(text)
+        out = out | _holds(context.broadcast(Finder(block, similarity, recall)), text)
     return out

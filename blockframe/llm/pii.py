@@ -193,6 +193,22 @@ def digest_of(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.unhex(F.sha2(text, 256)))
 
 
+def join_key(text: Column) -> Column:
+    """``digest_of`` a text, or a shorter hash that meets none, so that texts without identifiers are dealt evenly."""
+    return F.coalesce(digest_of(text), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
+def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **learn) -> DataFrame:
+    """``docs`` with all spans in their text replaced by their kind, and the length column, if there is one, made right."""
+    text = text_or_empty(docs[text_col])
+    found = listed(docs, text_col, **learn)
+    clean = F.when(found["spans"].isNotNull(), masked(text, found["spans"])).otherwise(docs[text_col])
+    joined = docs.join(found, join_key(text) == found["of_text"], "left")
+    lengths = {length_col: F.when(found["spans"].isNotNull(), F.length(clean)).otherwise(docs[length_col])} if length_col in docs.columns else {}
+    made = {text_col: clean} | lengths
+    return joined.select(*[made[c].alias(c) if c in made else docs[c] for c in docs.columns])
+
+
 def listed(docs: DataFrame, text_col: str = "text", **learn) -> DataFrame:
     """Spans of each distinct text in one row: ``(of_text, spans)``, sorted by kind as listed, then start."""
     spans = spans_of(docs, text_col, **learn)
@@ -214,7 +230,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the numbers and the digest are of base spans, ``spans`` lists all.
     """
     text = text_or_empty(docs[text_col])
-    rows = docs.select(docs[id_col].alias("doc_id"), digest_of(text).alias("digest"))
+    rows = docs.select(docs[id_col].alias("doc_id"), join_key(text).alias("digest"))
     found = listed(docs, text_col, **learn)
     own = F.coalesce("spans", F.expr("cast(array() as array<struct<rank:int,start:bigint,stop:bigint,kind:string,base:boolean>>)"))
 

@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import connected_components, cut_lineage
+from blockframe.llm.common import connected_components, cut_lineage, text_or_empty
 
 #: Fingerprints a tree holds at most; larger shards are dealt into finer ones.
 TREE_SIZE = 256
@@ -108,7 +108,7 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tree_size: int = TRE
     """
     spark = prints.sparkSession
     paths = {0: list(range(64))}  # path -> bits its shards do not share yet
-    dealt, links = prints.withColumn("path", F.lit(0)), None
+    dealt, links = prints.withColumn("path", F.col("fingerprint").bitwiseAND(F.lit(0)).cast("int")), None
     while True:
         finer, masks = {}, []
         for path, free in paths.items():
@@ -117,8 +117,8 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tree_size: int = TRE
                 finer[new] = [b for b in free if b not in block]
                 mask = sum(1 << b for b in range(64) if b not in finer[new])
                 masks.append((path, new, mask - (1 << 64) if mask >> 63 else mask))
-        book = F.broadcast(spark.createDataFrame(masks, "path int, new int, mask long"))
-        shards = dealt.join(book, "path").select(
+        book = F.broadcast(spark.createDataFrame(masks, "of int, new int, mask long"))
+        shards = dealt.join(book, F.col("path") == F.col("of")).select(
             "fingerprint", F.col("new").alias("path"), F.col("fingerprint").bitwiseAND(F.col("mask")).alias("shared")
         )
         sizes = shards.groupBy("path", "shared").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -140,9 +140,35 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tree_size: int = TRE
         if last:
             return links
         dealt = held.filter(F.col("size") > tree_size).select("fingerprint", "path")
-        if dealt.isEmpty():
+        crowded = {r.path for r in dealt.select("path").distinct().collect()}  # at most as many as there are paths
+        if not crowded:
             return links
-        paths = {p: free for p, free in finer.items()}
+        paths = {p: free for p, free in finer.items() if p in crowded}
+
+
+def fingerprints(text: Column, words_in_shingle: int = 3) -> Column:
+    """Fingerprint of a text column."""
+
+    @F.pandas_udf("long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([simhash(t, words_in_shingle) for t in batch], dtype="int64")
+
+    return of(text)
+
+
+def components(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """``(print, root, component_id)`` of every fingerprint in the stored table ``rows (doc_id, fingerprint)``.
+
+    ``root`` names the component; ``component_id`` is its smallest id.
+    """
+    prints = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
+    roots = connected_components(linked_fingerprints(prints.select("fingerprint"), radius))
+    rooted = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+    )
+    parts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut_lineage(rooted.join(parts, "root").select(F.col("fingerprint").alias("print"), "root", "component_id"), "named")
 
 
 def near_duplicates(
@@ -159,24 +185,35 @@ def near_duplicates(
 
     Returns ``(doc_id, fingerprint, component_id)``.
     """
+    rows = docs.select(docs[id_col].alias("doc_id"), fingerprints(docs[text_col], words_in_shingle).alias("fingerprint"))
+    rows = cut_lineage(rows, "simhash")
+    named = components(rows, radius)
+    return rows.join(named, rows["fingerprint"] == named["print"]).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
 
-    @F.pandas_udf("long")
-    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([simhash(t, words_in_shingle) for t in batch], dtype="int64")
 
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, radius: int = 3
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: of each component the one with the smallest id.
+
+    Null ids come last; of rows with that id the one with the smallest hash of
+    its text stays, and of equal rows any one.
+    """
+    text = text_or_empty(docs[text_col])
+    digest = F.unhex(F.sha2(text, 256))
     rows = cut_lineage(
-        docs.select(docs[id_col].alias("doc_id"), fingerprints(docs[text_col]).alias("fingerprint")), "simhash"
-    )
-    prints = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = connected_components(linked_fingerprints(prints.select("fingerprint"), radius))
-    rooted = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
-    parts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(
-        rooted.join(parts, "root").select(F.col("fingerprint").alias("print"), "component_id"), "named"
-    )
-    return rows.join(named, rows["fingerprint"] == named["print"]).select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        docs.select(
+            docs[id_col].alias("doc_id"), digest.alias("digest"), fingerprints(docs[text_col], words_in_shingle).alias("fingerprint")
+        ),
+        "simhash",
     )
+    named = components(rows, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("first")
+    chosen = rows.join(named, rows["fingerprint"] == named["print"]).groupBy("root").agg(first)
+    chosen = chosen.select(F.col("root").alias("_root"), F.col("first.doc_id").alias("_first"), F.col("first.digest").alias("_digest"))
+    kept = docs.join(chosen, (digest == F.col("_digest")) & docs[id_col].eqNullSafe(F.col("_first")))
+    # Only repeated rows are left in a group.
+    line = Window.partitionBy("_root").orderBy("_digest")
+    return kept.withColumn("_nth", F.row_number().over(line)).filter("_nth = 1").drop("_nth", "_root", "_first", "_digest")

@@ -202,6 +202,21 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_component_stays(spark):
+    docs = odd_documents()
+    kept = simhash.one_of_each(frame(spark, docs))
+    assert kept.columns == frame(spark, []).columns
+    prints = {t: plain_simhash(t) for _, t in docs}
+    roots = plain_components(set(prints.values()))
+    groups = defaultdict(list)
+    for i, t in docs:
+        groups[roots[prints[t]]].append((i is None, i or 0, i))
+    rows = kept.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(min(g)[2] for g in groups.values())
+    assert {(r.doc_id, r.text) for r in rows} <= set(docs)
+    assert simhash.one_of_each(frame(spark, [])).count() == 0
+
+
 # -- passages ---------------------------------------------------------------
 
 
