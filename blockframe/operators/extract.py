@@ -6,6 +6,8 @@ unique and one very large document spreads over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,8 @@ from ..functions.geometry import box_columns
 from ..functions.text import join_words
 from ..sources.blocks import dedupe_blocks
 
-# Types that are never a cell of a table.  They make up most of a document, so
-# they are left out before anything is joined or shuffled.
-_NEVER_CELLS = ("PAGE", "LINE", "WORD", "TABLE")
+# Types whose words ``cell_words`` does not list; a table may still list such a block.
+_NOT_ASKED = ("PAGE", "LINE", "WORD", "TABLE")
 
 _REL_STRIDE = 1 << 32
 
@@ -63,16 +64,18 @@ def block_edges(blocks: DataFrame, *carry: str) -> DataFrame:
 
 
 def _cell_blocks(blocks: DataFrame) -> DataFrame:
-    return blocks.filter(~F.col("BlockType").isin(*_NEVER_CELLS))
+    return blocks.filter(~F.col("BlockType").isin(*_NOT_ASKED))
 
 
 def _unique(blocks: DataFrame, dedupe: bool) -> DataFrame:
     return dedupe_blocks(blocks) if dedupe else blocks
 
 
-def table_cells(blocks: DataFrame, dedupe: bool = False) -> DataFrame:
+def table_cells(blocks: DataFrame, dedupe: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Cells of every table: one row per table, relation and known cell id.
 
+    ``carry`` names columns of the cell's block to keep.
+
     ``rel_rank`` and ``pos`` keep the order in which a table lists its cells:
     relation type in fixed order, then place in the id lists.  With ``dedupe``
     the last block of an id counts.
@@ -94,9 +97,11 @@ def table_cells(blocks: DataFrame, dedupe: bool = False) -> DataFrame:
         .withColumn("pos", F.col("rel_pos") * F.lit(_REL_STRIDE) + F.col("id_pos"))
         .drop("rel_pos", "id_pos")
     )
-    cells = _unique(_cell_blocks(blocks), dedupe).select(
+    # Any block can be listed, so the listed ids alone say which are cells.
+    cells = _unique(blocks, dedupe).select(
         "source",
         F.col("Id").alias("child_id"),
+        *carry,
         first_entity().alias("entity_type"),
         *box_columns(box, "cell"),
         F.col("RowIndex").alias("row_index"),
@@ -122,10 +127,9 @@ def cell_words(
     text = F.col("Text")
     if include_selection:
         text = F.coalesce(text, F.col("SelectionStatus"))
-    words = _unique(blocks.filter(text.isNotNull()), dedupe).select(
-        "source", F.col("Id").alias("child_id"), text.alias("text")
-    )
-    edges = block_edges(_unique(_cell_blocks(blocks), dedupe)).filter("rel_type = 'CHILD'")
+    blocks = _unique(blocks, dedupe)  # first: the last copy of a word may have no text
+    words = blocks.filter(text.isNotNull()).select("source", F.col("Id").alias("child_id"), text.alias("text"))
+    edges = block_edges(_cell_blocks(blocks)).filter("rel_type = 'CHILD'")
     return (
         edges.join(words, ["source", "child_id"])
         .groupBy("source", F.col("parent_id").alias("cell_id"))
@@ -140,12 +144,26 @@ def cells_from_blocks(
     """The cells dataset of a block graph.
 
     Give ``dedupe=False`` when ids are known to be unique per source; it saves
-    sorting the blocks before their shuffle.
+    sorting the blocks before their shuffle.  Of repeated ids the last block
+    counts, with its relations and its text or lack of it.
     """
-    words = cell_words(blocks, include_selection, dedupe)
+    text = F.col("Text")
+    if include_selection:
+        text = F.coalesce(text, F.col("SelectionStatus"))
+    blocks = _unique(blocks, dedupe)
+    cells = table_cells(blocks, carry=["Relationships"])
+    place = ["source", "table_id", "rel_rank", "pos"]  # one for each row of cells
+    word_ids = cells.select(*place, F.posexplode("Relationships").alias("rel_pos", "rel")).filter("rel.Type = 'CHILD'")
+    listed = word_ids.select(*place, "rel_pos", F.posexplode("rel.Ids").alias("id_pos", "Id"))
+    known = blocks.filter(text.isNotNull()).select("source", "Id", text.alias("text"))
+    words = (
+        listed.join(known, ["source", "Id"])
+        .groupBy(*place)
+        .agg(F.array_sort(F.collect_list(F.struct("rel_pos", "id_pos", "text"))).alias("w"))
+        .select(*place, F.col("w.text").alias("cell_words"))
+    )
     return (
-        table_cells(blocks, dedupe)
-        .join(words, ["source", "cell_id"], "left")
+        cells.join(words, place, "left")
         .withColumn("cell_words", F.coalesce("cell_words", F.array().cast("array<string>")))
         .withColumn("cell_content", join_words("cell_words"))
         .select(*CELL_COLUMNS, "rel_rank", "pos")

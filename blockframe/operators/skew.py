@@ -9,36 +9,28 @@ TABLE_KEY = ["source", "table_id"]
 
 # Groups above this many rows are candidates for the split plan.
 HOT_ROWS = 50_000
-# At most this many groups are listed, the biggest first.  A group that is not
-# listed holds less than 1/10,000 of all rows, and the list (two ids per row)
-# stays around a megabyte, so it may be broadcast whatever the data size.
-MOST_HOT_GROUPS = 10_000
 
 
 def hot_groups(df: DataFrame, keys=TABLE_KEY, floor: int = HOT_ROWS) -> DataFrame:
-    """Keys of the biggest groups with more than ``floor`` rows.
-
-    Counts are combined before the shuffle, and the list is bounded by
-    ``MOST_HOT_GROUPS``.
-    """
+    """Keys of all groups with more than ``floor`` rows; counts are combined before the shuffle."""
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > floor)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MOST_HOT_GROUPS)
         .select(*keys)
     )
 
 
 def split_hot(df: DataFrame, hot: DataFrame, keys=TABLE_KEY) -> tuple[DataFrame, DataFrame]:
-    """``(ordinary rows, rows of hot groups)``; both are map-side filters.
+    """``(ordinary rows, rows of hot groups)``.
 
-    When ``hot`` turns out empty, adaptive execution drops the second branch
-    before reading anything for it.
+    The keys are joined without a hint: adaptive execution sends them to all
+    tasks where it has measured that they are few, and shuffles otherwise.
+    When ``hot`` turns out empty, it drops the second branch before reading
+    anything for it.
     """
-    small = F.broadcast(hot)
-    return df.join(small, keys, "left_anti"), df.join(small, keys, "left_semi")
+    own = own_shuffle(hot, keys)
+    return df.join(own, keys, "left_anti"), df.join(own, keys, "left_semi")
 
 
 def own_shuffle(df: DataFrame, keys) -> DataFrame:

@@ -46,7 +46,7 @@ from li join {orders} o on o.o_orderkey=li.l_orderkey
 TITLES_SQL = """
 select concat('ti',cast(doc_id as varchar(20))) as layout_title_id, source,
  cast(doc_id % 50 as int) as layout_title_page,
- cast(n_chars % 10 as double) as layout_title_confidence, substr(text,1,40) as layout_title_text
+ cast(n_chars % 10 as double) as layout_title_confidence, text as layout_title_text
 from {documents}
 """
 

@@ -30,14 +30,17 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, notebooks on one machine) a fresh
-    temporary folder is used.
+    Where the setting is absent, a fresh temporary folder is used on a local
+    master (tests, notebooks); on a cluster, whose machines would not see it,
+    that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="blockframe-"))
     return context.getCheckpointDir()
 

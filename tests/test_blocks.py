@@ -59,6 +59,22 @@ def test_dangling_ids_are_dropped(spark, data):
     assert by_id(cells(spark, data, "dangling"), "cell_words") == {"c1": (["here"],)}
 
 
+def _block(block_id, kind, text=None, children=(), relation="CHILD"):
+    related = [{"Type": relation, "Ids": list(children)}] if children else None
+    return {"Id": block_id, "BlockType": kind, "Text": text, "Relationships": related, "RowIndex": 1, "ColumnIndex": 1}
+
+
+def test_last_copy_counts_even_without_text_and_any_block_can_be_listed(spark, tmp_path):
+    import json
+
+    table = _block("t", "TABLE", children=["c1"])
+    table["Relationships"].append({"Type": "TABLE_FOOTER", "Ids": ["l1"]})
+    blocks = [table, _block("c1", "CELL", children=["w1", "w2"]), _block("w1", "WORD", "stale"), _block("w1", "WORD"), _block("w2", "WORD", "kept"), _block("l1", "LINE", "foot", ["w2"])]
+    (tmp_path / "d.json").write_text(json.dumps([{k: v for k, v in b.items() if v is not None} for b in blocks]))
+    found = op.cells_from_blocks(src.read_blocks(spark, str(tmp_path / "d.json")))
+    assert by_id(found, "cell_words") == {"c1": (["kept"],), "l1": (["kept"],)}
+
+
 def test_last_duplicate_wins(spark, data):
     assert by_id(cells(spark, data, "duplicate"), "cell_words") == {"c1": (["new"],)}
     first = src.dedupe_blocks(src.read_blocks(spark, data("duplicate")), keep="first")

@@ -91,6 +91,20 @@ def test_graph_round_trip_gives_the_grid(spark, sf_dir):
     assert cells.select(*columns).exceptAll(grid).isEmpty() and cells.count() == grid.count()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from blockframe import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError):
+            session.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
+
+
 def test_shared_folder_follows_the_setting(spark):
     from blockframe import session
 
