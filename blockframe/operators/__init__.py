@@ -33,6 +33,7 @@ from .extract import (
 from .joins import attach_table_class, attach_tags, cells_of_tables, unmatched
 from .learn import (
     cluster_features,
+    fit_sample,
     hash_split,
     load_model,
     predict_cell_role,

@@ -56,6 +56,15 @@ def split_bucket(key: str, salt: str = ""):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
 
 
+def fit_sample(train: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` labelled rows to fit on, the first by a hash of ``keys``.
+
+    A model's fit needs many passes; this bounds them.  Scoring is not bounded.
+    """
+    order = F.xxhash64(*keys)
+    return train.orderBy(order, *keys).limit(rows)
+
+
 def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> None:
     writer = model.write()
     (writer.overwrite() if overwrite else writer).save(path)

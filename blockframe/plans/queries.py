@@ -1246,6 +1246,10 @@ def _titled_tables(spark, sf_dir):
     return titled.withColumn("table_class", F.when(rows > 6, "BIGRID_STACKED").when(rows > 3, "BIGRID").otherwise("KVP"))
 
 
+# Labelled rows that the registered queries fit models on; all test rows are scored.
+FIT_ROWS = 1000
+
+
 def _scored_report(train, test, model, label, predict):
     scored = predict(test, model, output="prediction")
     return op.classification_report(scored, label, "prediction")
@@ -1254,14 +1258,14 @@ def _scored_report(train, test, model, label, predict):
 @query("train_table_classifier")
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
-    model = op.train_table_classifier(train, trees=10, depth=8)
+    model = op.train_table_classifier(op.fit_sample(train, FIT_ROWS, *KEY))
     return _scored_report(train, test, model, "table_class", op.predict_table_class)
 
 
 @query("train_table_classifier_grid")
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
-    model = op.train_table_classifier(train, variant="grid", trees=10, depth=8)
+    model = op.train_table_classifier(op.fit_sample(train, FIT_ROWS, *KEY), variant="grid")
     return _scored_report(train, test, model, "table_class", op.predict_table_class)
 
 
@@ -1275,27 +1279,27 @@ def _cells_with_context(spark, sf_dir):
 @query("train_cell_classifier")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id")
-    model = op.train_cell_classifier(train, trees=5, depth=8)
+    model = op.train_cell_classifier(op.fit_sample(train, FIT_ROWS, "source", "cell_id"))
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("train_cell_role_svm")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
-    model = op.train_cell_role_svm(train, k=100, iterations=5)
+    model = op.train_cell_role_svm(op.fit_sample(train, FIT_ROWS, "source", "cell_id"))
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("train_cell_role_svm_all_text")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
-    model = op.train_cell_role_svm(train, text="all", k=100, iterations=5)
+    model = op.train_cell_role_svm(op.fit_sample(train, FIT_ROWS, "source", "cell_id"), text="all")
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("cluster_tables")
 def _(spark, sf_dir):
-    clustered, _ = op.cluster_tables(_titled_tables(spark, sf_dir), k_terms=100)
+    clustered, _ = op.cluster_tables(_titled_tables(spark, sf_dir), stop_words=_STOP)
     return clustered.select(*KEY, "cluster_weighted")
 
 
