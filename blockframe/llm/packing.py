@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,41 +18,51 @@ from blockframe.llm.common import cut_lineage, number_within, text_or_empty
 GROUPS = 4096
 #: Lengths of at most this part of a sequence are small.
 SMALL_PART = 8
-#: Strings whose ids a Python worker remembers.
-KNOWN_STRINGS = 400_000
 
 
-class Encoder(dict):
-    """Token ids (little-endian, 32 bits) of space-led strings; at most ``KNOWN_STRINGS`` are remembered.
+class Encoder:
+    """Token ids of texts, little-endian with 32 bits each, as a tokenizer file gives them.
 
-    The tokenizer never joins characters over the place before a space that
-    follows a visible character, so a text is encoded string by string.
+    Texts of Latin characters go through a faster library with the file's own
+    vocabulary, where that is a byte-level one in order of its merges; both
+    give the same ids there.  Special strings are ordinary text.
     """
 
-    _apart = re.compile(r"(?<=\S)(?= )")
-    _together = re.compile(r"\s ")
+    _latin = re.compile("[^\x00-\u024f]")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.fast = self._fast(path)
+
+    @staticmethod
+    def _fast(path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        own, merges = parts["model"].get("vocab"), parts["model"].get("merges")
+        if parts["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            return None
+        if not merges or any(own["".join(m if isinstance(m, list) else m.split(" "))] != 256 + k for k, m in enumerate(merges)):
+            return None
+        # Visible bytes stand for themselves, the others for 256 and on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in own.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, string: str) -> bytes:
-        ids = self.plain(" " + string)
-        if len(self) < KNOWN_STRINGS:
-            self[string] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
-        if self._together.search(text):
-            head, *rest = self._apart.split(text)
-            return self.plain(head) + b"".join(self[s[1:]] for s in rest)
-        head, *rest = text.split(" ")
-        return (self.plain(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+        if self.fast is None or not text.isascii() and self._latin.search(text):
+            return self.plain(text)
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

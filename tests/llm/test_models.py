@@ -119,9 +119,15 @@ def test_encoder_equals_the_tokenizer():
     rng = random.Random(9)
     parts = [" ", "  ", "\n", " \n", "a", "Bé", "\t", " ", "\x1c", "\x85", "1", "23", "'s", "!!", "　", "<|endoftext|>", "日本"]
     encode = packing.Encoder(PATH)
+    assert encode.fast is not None
     for _ in range(5000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
         assert encode.encode(text) == encode.plain(text)
+        text = "".join(chr(rng.choice([rng.randrange(0x250), 32, 10, rng.randrange(128)])) for _ in range(12))
+        assert encode.encode(text) == encode.plain(text)
+    for code in range(0x250):
+        text = f"a{chr(code)}b {chr(code)}{chr(code)} 1{chr(code)}"
+        assert encode.encode(text) == encode.plain(text)
 
 
 def best_fit_decreasing(lengths, capacity):
