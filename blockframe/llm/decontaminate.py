@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -172,7 +173,7 @@ class Finder:
 
     def coded(self, words: list[bytes]) -> np.ndarray:
         code = self.codes.get
-        return np.fromiter((code(w, 0) for w in words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(code, words, repeat(0)), dtype=np.int32, count=len(words))
 
     def find(self, texts: Sequence[str | None]) -> list[list[tuple[object, int, int, int, int]]]:
         """Of each text, the items it holds: (item, first word, word after the last, edits, words of the item)."""
