@@ -23,6 +23,8 @@ REACH, SAMPLED = 8, 4
 STRIDE = 4
 #: Items sent to the tasks at a time.
 ITEMS = 20_000
+#: Cells of the table of items by words; more are looked up by search.
+TABLE = 1 << 25
 MARKS = b".,;:!?()[]{}\"'"
 
 
@@ -75,16 +77,20 @@ class Finder:
             if len(words) >= MIN_WORDS:
                 self.ids.append(item)
                 self.items.append(np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in words], dtype=np.int32))
+        self.size = len(self.codes) + 1
+        self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.edits = np.array([allowed(len(x), similarity) for x in self.items], dtype=np.int64)
+        self.held = np.unique(np.concatenate([k * self.size + x.astype(np.int64) for k, x in enumerate(self.items)] or [np.zeros(1, np.int64)]))
+        self.table = None  # of the words each item has, where that is small
+        if len(self.items) * self.size <= TABLE:
+            self.table = np.zeros(len(self.items) * self.size + 1, dtype=bool)
+            self.table[self.held] = bool(self.items)
         self.masks = []
         for item in self.items:
             masks: dict[int, int] = defaultdict(int)
             for i, w in enumerate(item.tolist()):
                 masks[w] |= 1 << i
             self.masks.append(dict(masks))
-        self.size = len(self.codes) + 1
-        self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
-        self.edits = np.array([allowed(len(x), similarity) for x in self.items], dtype=np.int64)
-        self.held = np.unique(np.concatenate([k * self.size + x.astype(np.int64) for k, x in enumerate(self.items)] or [np.zeros(1, np.int64)]))
         rng = np.random.default_rng(seed)
         self.walks: list = []
         while self.items:
@@ -157,7 +163,11 @@ class Finder:
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 leaf = ends[np.repeat((np.cumsum(counts) - counts)[node], times) + nth]
                 found.append(np.column_stack([leaf[:, 0], np.repeat(starts, times), leaf[:, 1]]))
-        return np.unique(np.concatenate(found), axis=0)
+        item, place, offset = np.concatenate(found).T
+        longest = int(self.lengths.max(initial=0)) + 1
+        once = np.unique((place * (len(self.items) + 1) + item) * longest + offset)
+        rest, offset = once // longest, once % longest
+        return np.column_stack([rest % (len(self.items) + 1), rest // (len(self.items) + 1), offset])
 
     def _measured(self, rng: np.random.Generator) -> float:
         """Share of items met after the most edits allowed (random replacements, insertions, losses)."""
@@ -192,7 +202,10 @@ class Finder:
             at = low[c, None] + np.arange((high[c] - low[c]).max())
             words = np.where(at < high[c, None], laid[np.minimum(at, len(laid) - 1)], 0)
             keys = k[c, None] * self.size + words
-            there = self.held[np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)] == keys
+            if self.table is None:
+                there = self.held[np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)] == keys
+            else:
+                there = self.table[keys]
             enough[c] = (there & (words > 0)).sum(1) >= (n - edits)[c]
         by_pair: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
         for d, i, x, y in zip(doc[enough].tolist(), k[enough].tolist(), (low - starts[doc])[enough].tolist(), (high - starts[doc])[enough].tolist()):
@@ -217,6 +230,8 @@ class Finder:
         """Where the match that ends at ``best`` begins: the shortest such run."""
         item = self.items[k][::-1].tolist()
         distance, end = best
+        if not distance:
+            return end - len(item)
         back = text[max(0, end - len(item) - distance) : end][::-1].tolist()
         row = list(range(len(item) + 1))
         for i, w in enumerate(back, 1):
