@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,9 @@ HEAVY, OWN, SHAPES, ENDING = 1_000_000, 512, 512, 3
 COUNTED = 300_000
 #: Tokens of a training sequence; longer documents are trained on in pieces.
 PIECE = 64
+#: Documents encoded at a time.
+TOGETHER = 500
+ENCODED = ["row", "doc_id", "held_out", "n_tokens", "n_seen", "log_c", "log_own", "codes", "rare", "times"]
 END = b""  # the end token; no word is empty
 
 
@@ -204,23 +208,24 @@ def score_documents(
         words, symbol, log_c, log_own = known.value
         place = {w: i for i, w in enumerate(words)}
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            out = []
-            for doc, text, held in zip(batch["doc_id"], batch["text"], batch["held_out"]):
-                found = tokens(text)
-                found.append(END)
-                at = np.fromiter((place.get(w, -1) for w in found), dtype=np.int64, count=len(found))
-                seen, rare = at[at >= 0], np.flatnonzero(at < 0)
-                codes = np.empty(len(at), dtype=np.uint16)
-                codes[at >= 0] = symbol[seen]
-                odd = [found[i] for i in rare.tolist()]
-                ends = np.array([shape(w) for w in odd], dtype=np.int64)
-                codes[rare] = owned + ends
-                times = Counter(odd)
-                out.append((number, doc, held, len(found), len(seen), float(log_c[seen].sum()),
-                            float(log_own[seen].sum() - spread[ends].sum()), codes.tobytes(), list(times), list(times.values())))
-                number += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "n_seen", "log_c", "log_own", "codes", "rare", "times"])
+        for whole in batches:
+            for first in range(0, len(whole), TOGETHER):
+                batch, out = whole.iloc[first : first + TOGETHER], []
+                for doc, text, held in zip(batch["doc_id"], batch["text"], batch["held_out"]):
+                    found = tokens(text)
+                    found.append(END)
+                    at = np.fromiter(map(place.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+                    seen, rare = at[at >= 0], np.flatnonzero(at < 0)
+                    codes = np.empty(len(at), dtype=np.uint16)
+                    codes[at >= 0] = symbol[seen]
+                    odd = [found[i] for i in rare.tolist()]
+                    ends = np.array([shape(w) for w in odd], dtype=np.int64)
+                    codes[rare] = owned + ends
+                    times = Counter(odd)
+                    out.append((number, doc, held, len(found), len(seen), float(log_c[seen].sum()),
+                                float(log_own[seen].sum() - spread[ends].sum()), codes.tobytes(), list(times), list(times.values())))
+                    number += 1
+                yield pd.DataFrame(out, columns=ENCODED)
 
     coded = cut_lineage(
         rows.mapInPandas(
