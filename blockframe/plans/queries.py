@@ -275,6 +275,7 @@ def _(spark, sf_dir):
 
 # -- merged cells -------------------------------------------------------------
 
+_GRID_ONCE = f"{GRID}, {MERGED}".replace(" as (", " as materialized (", 1)
 _HITS = (
     "h1 as (select g.source, g.table_id, g.cell_id, m.cell_id as parent, g.cell_content, g.row_index, g.column_index "
     "from grid g join merged m on m.source = g.source and m.table_id = g.table_id and m.cell_id like 'm1%' "
@@ -282,17 +283,17 @@ _HITS = (
     "and g.column_index between m.column_index and m.column_index + m.column_span - 1), "
     "t1 as (select source, table_id, parent, trim(coalesce(string_agg(cell_content, ' ' order by column_index, row_index) "
     "filter (where cell_content <> ''), '')) as txt from h1 group by source, table_id, parent), "
-    "s1 as (select g.*, case when t1.txt <> '' then t1.txt else g.cell_content end as text1, "
+    "s1 as materialized (select g.*, case when t1.txt <> '' then t1.txt else g.cell_content end as text1, "
     "case when t1.txt <> '' then t1.parent end as parent1 from grid g left join h1 using (source, table_id, cell_id) "
     "left join t1 on t1.source = h1.source and t1.table_id = h1.table_id and t1.parent = h1.parent)"
 )
 _DISJOINT_SQL = (
-    f"with {GRID}, {MERGED}, {_HITS} select source, table_id, cell_id, text1 as cell_content, "
+    f"with {_GRID_ONCE}, {_HITS} select source, table_id, cell_id, text1 as cell_content, "
     "coalesce(parent1, 'None') as merged_parent_cell_id, case when parent1 is null then 0 else 1 end as has_merged_parent "
     "from s1 union all select source, table_id, cell_id, '', 'None', 0 from merged where cell_id like 'm1%'"
 )
 _OVERLAY_SQL = (
-    f"with {GRID}, {MERGED}, {_HITS}, "
+    f"with {_GRID_ONCE}, {_HITS}, "
     "h2 as (select g.*, m.cell_id as parent from s1 g join merged m on m.source = g.source and m.table_id = g.table_id "
     "and m.cell_id like 'm2%' and g.row_index between m.row_index and m.row_index + m.row_span - 1 "
     "and g.column_index between m.column_index and m.column_index + m.column_span - 1), "
@@ -315,8 +316,8 @@ def _(spark, sf_dir):
 
 @query("overlay_merged_cells_waves", _OVERLAY_SQL)
 def _(spark, sf_dir):
-    """Same rows with every overlapping table worked off in waves."""
-    return op.overlay_merged_cells(fx.grid_with_merged(spark, sf_dir), fold_pairs=0).select(*_OVERLAID)
+    """Same rows with every merged cell replayed in visiting order."""
+    return op.overlay_merged_cells(fx.grid_with_merged(spark, sf_dir), replay_all=True).select(*_OVERLAID)
 
 
 @query("overlay_disjoint_merged_cells", _DISJOINT_SQL)

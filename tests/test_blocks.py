@@ -121,10 +121,10 @@ def test_content_holds_merged_cells_as_empty_lists(spark, data):
     assert (distinct.row_count, distinct.column_count) == (2, 2)
 
 
-@pytest.mark.parametrize("fold_pairs", [20_000, 0])
-def test_overlapping_merged_cells(spark, data, fold_pairs):
+@pytest.mark.parametrize("replay_all", [False, True])
+def test_overlapping_merged_cells(spark, data, replay_all):
     got = by_id(
-        op.overlay_merged_cells(cells(spark, data, "overlap"), fold_pairs),
+        op.overlay_merged_cells(cells(spark, data, "overlap"), replay_all=replay_all),
         "cell_content", "merged_parent_cell_id", "has_merged_parent", "cell_words",
     )
     assert got["c11"] == ("a b d", "m2", 1, ["a"])
