@@ -13,7 +13,6 @@ from pyspark.ml.feature import (
     PCAModel,
     ElementwiseProduct,
     StandardScaler,
-    StringIndexer,
     StringIndexerModel,
     VectorAssembler,
     VectorSlicer,
@@ -52,10 +51,12 @@ def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def label_encoder(df: DataFrame, column: str, output: str) -> StringIndexerModel:
-    """Fitted transformer from sorted distinct values to codes from 0."""
-    return StringIndexer(
-        inputCol=column, outputCol=output, stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(df)
+    """Fitted transformer from sorted distinct values to codes from 0.
+
+    The values pass through the driver; more than ``MOST_CATEGORIES`` are refused.
+    """
+    values = [v for v in categories(df, F.col(column).cast("string")) if v is not None]
+    return StringIndexerModel.from_labels(values, inputCol=column, outputCol=output, handleInvalid="keep")
 
 
 def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataFrame:

@@ -158,8 +158,12 @@ def transform_tfidf(
 def weights_long(df: DataFrame, vocabulary: DataFrame, keys, vector: str = "tfidf") -> DataFrame:
     """Non-zero weights as rows ``(keys..., term, weight)``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    values = df.select(*keys, F.posexplode(vector_to_array(vector)).alias("term_index", "weight"))
-    return values.filter("weight != 0").join(
+    entries = F.transform(
+        vector_to_array(vector), lambda x, i: F.struct(i.alias("term_index"), x.alias("weight"))
+    )
+    # Zeros go before the explode: a text holds few of the terms.
+    values = df.select(*keys, F.inline(F.filter(entries, lambda e: e["weight"] != 0)))
+    return values.join(
         F.broadcast(vocabulary.select("term_index", "term")), "term_index"
     ).select(*keys, "term", "weight")
 

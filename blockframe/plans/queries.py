@@ -1194,6 +1194,27 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "first_notifications",
+    "select distinct concat('job', cast(user_id as varchar)) as job_id from events where event_id % 7 <> 0",
+)
+def _(spark, sf_dir):
+    """Notifications taken in as a stream; every job is reported once."""
+    arrived, sink, progress = (scratch_path(spark, n) for n in ("notifications", "first", "progress"))
+    events = fx.table(spark, sf_dir, "events")
+    message = F.to_json(
+        F.struct(F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("JobId"), F.col("event_type").alias("Status"))
+    )
+    body = F.to_json(F.struct(message.alias("Message")))
+    messages = events.filter("event_id % 7 <> 0").select(F.lit("2024-01-01").cast("timestamp").alias("sent"), body.alias("Body"))
+    src.save_dataset(messages, arrived)
+    stream = streaming.decode_notifications(spark.readStream.schema(messages.schema).parquet(arrived))
+    first = streaming.first_notifications(stream, "sent")
+    writer = first.select("job_id").writeStream.format("parquet").option("path", sink).option("checkpointLocation", progress)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id string").parquet(sink)
+
+
 @query("stream_blocks", _BLOCK_CELLS_SQL)
 def _(spark, sf_dir):
     """Documents written as files, taken in as a stream, cells read from the sink."""
@@ -1308,3 +1329,24 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
     return op.silhouette_scores(vectors)
+
+
+@query(
+    "silhouette_of_labels",
+    "with x as (select vec_id, label, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as i from embeddings "
+    "where label is not null), "
+    "s as (select label, i, sum(v) as total from x group by label, i), q as (select label, sum(v * v) as squares from x group by label), "
+    "n as (select label, count(*) as n from embeddings where label is not null group by label), "
+    "p as (select vec_id, label, sum(v * v) as own from x group by vec_id, label), "
+    "d as (select x.vec_id, s.label as other, sum(x.v * s.total) as dot from x join s using (i) group by x.vec_id, s.label), "
+    "m as (select p.vec_id, p.label, d.other, n.n, p.own + q.squares / n.n - 2 * d.dot / n.n as far from p join d using (vec_id) "
+    "join q on q.label = d.other join n on n.label = d.other), "
+    "ab as (select vec_id, max(case when label = other then n end) as n, max(case when label = other and n > 1 then far * n / (n - 1) end) as a, "
+    "min(case when label <> other then far end) as b from m group by vec_id) "
+    "select round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from ab",
+)
+def _(spark, sf_dir):
+    """The silhouette of given clusters: the labels of the vectors."""
+    vectors = fx.table(spark, sf_dir, "embeddings").filter("label is not null")
+    clustered = vectors.select(array_to_vector("embedding").alias("features"), F.col("label").cast("int").alias("cluster"))
+    return spark.createDataFrame([(round(op.silhouette(clustered), 6),)], "silhouette double")
