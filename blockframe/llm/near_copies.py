@@ -1,0 +1,173 @@
+"""Near copies by exact Jaccard likeness of word shingles; candidates by SimHash in BK-trees."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from blockframe.llm.common import connected_components, cut_lineage, text_or_empty
+from blockframe.llm.simhash import TREE_SIZE, BKTree, simhash
+
+#: Words of a shingle and the likeness from which texts are near copies.
+SHINGLE, LIKENESS = 5, 0.8
+#: Bits that fingerprints of near copies may differ in: about 10 are expected at the likeness, with a deviation of 3.
+RADIUS = 20
+#: A text is in one shard for each band of least hashes; near copies share one of 16 bands of 3 with probability 0.9999 or more.
+BANDS, LANES = 16, 3
+#: Shingles hashed at a time.
+SLAB = 1 << 13
+_ODD = np.random.default_rng(17).integers(0, 1 << 63, BANDS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingles(text: str | None) -> set[bytes]:
+    words = words_of(text)
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def likeness(one: str | None, other: str | None) -> float:
+    a, b = shingles(one), shingles(other)
+    same = len(a & b)
+    return same / (len(a) + len(b) - same)
+
+
+def bands(text: str | None) -> list[int]:
+    """A hash of each band of least hashes of the shingles."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles(text)], dtype=np.uint64)
+    least = np.full(BANDS * LANES, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), SLAB):
+        mixed = hashes[at : at + SLAB, None] * _ODD
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, LANES))]
+
+
+def closest_links(values: Iterable[int], roots: Iterable, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect all values within the radius that no common root connects, the closest first: a least spanning forest.
+
+    ``every``: all pairs within the radius that have different roots.
+    """
+    tree, near, values = BKTree(), [], [v & (1 << 64) - 1 for v in values]
+    for i, value in enumerate(values):
+        near += [((values[j] ^ value).bit_count(), i, j) for j in tree.within(value, RADIUS)]
+        tree.add(value)
+    seen: dict = {}
+    leader = [seen.setdefault(r, i) for i, r in enumerate(roots)]
+
+    def top(i: int) -> int:
+        while leader[i] != i:
+            leader[i] = leader[leader[i]]
+            i = leader[i]
+        return i
+
+    links = []
+    for _, i, j in sorted(near):
+        if (own := top(i)) != (other := top(j)):
+            if not every:
+                leader[own] = other
+            links.append((i, j))
+    return links
+
+
+def described(text: Column) -> Column:
+    """Node (a digest of the words), fingerprint and bands of a text column."""
+
+    @F.pandas_udf("node binary, fingerprint long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in batch]
+            yield pd.DataFrame(
+                {"node": nodes, "fingerprint": [simhash(t, SHINGLE) for t in batch], "bands": [bands(t) for t in batch]}
+            )
+
+    return of(text)
+
+
+def _searched(shards: DataFrame, by: list[str], every: bool = False) -> DataFrame:
+    """Candidate links ``(a, b)`` of each shard of ``(node, fingerprint, root)``."""
+    groups = shards.groupBy(*by).agg(F.collect_list(F.struct("node", "fingerprint", "root")).alias("members")).select("members")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for members in batch["members"]:
+                found = sorted(((bytes(m["node"]), m["fingerprint"], bytes(m["root"])) for m in members))
+                out += [(found[i][0], found[j][0]) for i, j in closest_links([m[1] for m in found], [m[2] for m in found], every)]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return groups.filter(F.size("members") > 1).mapInPandas(search, "a binary, b binary").distinct()
+
+
+def _checked(links: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Those of the candidate links whose texts are alike, by their shingles."""
+    links = cut_lineage(links, "candidates")
+    nodes = links.select(F.col("a").alias("_node")).union(links.select("b")).distinct()
+    wanted = nodes.join(texts, F.col("_node") == texts["node"]).select("_node", "digest")
+    text = text_or_empty(docs[text_col])
+    held = docs.select(F.unhex(F.sha2(text, 256)).alias("_digest"), text.alias("_text"))
+    held = held.join(wanted, F.col("_digest") == F.col("digest")).select("_node", "_text").dropDuplicates(["_node"])
+    held = cut_lineage(held, "linked_texts")
+    one, other = held.toDF("_a", "one"), held.toDF("_b", "other")
+    pairs = links.join(one, F.col("a") == F.col("_a")).join(other, F.col("b") == F.col("_b")).select("a", "b", "one", "other")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[likeness(x, y) >= LIKENESS for x, y in zip(batch["one"], batch["other"])], ["a", "b"]]
+
+    return cut_lineage(pairs.mapInPandas(check, "a binary, b binary"), "alike")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    roots = connected_components(links).toDF("_node", "_root")
+    return nodes.join(roots, nodes["node"] == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: of each group of near copies the one with the smallest id.
+
+    Near copies are texts whose sets of ``SHINGLE``-word shingles have a
+    Jaccard likeness of at least ``LIKENESS``, and what such links connect.
+    Texts are lower-cased (A-Z) and cut at ASCII white space; texts of the same
+    words are one node.  Candidates are fingerprints within ``RADIUS`` bits
+    in the BK-tree of a shard; only those whose texts are alike are linked.
+    First the links of a least spanning forest are checked (a shard of more than
+    ``TREE_SIZE`` in pieces), then, in shards of several groups, all candidates
+    between groups (in all pairs of pieces), so dense groups form no pairs.  Null ids come last; of rows with the smallest id the one
+    with the smallest hash of its text stays, and of equal rows any one.
+    """
+    digest = F.unhex(F.sha2(text_or_empty(docs[text_col]), 256))
+    rows = docs.select(docs[id_col].alias("doc_id"), digest.alias("digest"), described(docs[text_col]).alias("of"))
+    rows = cut_lineage(rows.select("doc_id", "digest", "of.*"), "described")
+    texts = cut_lineage(rows.groupBy("node").agg(F.min("digest").alias("digest"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "texts")
+    shards = texts.select("node", "fingerprint", F.col("node").alias("root"), F.explode("bands").alias("band"))
+    sizes = shards.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = sizes.withColumn("pieces", F.ceil(F.col("size") / (TREE_SIZE // 2)).cast("int"))
+    sizes = sizes.withColumn("pieces", F.when(F.col("size") <= TREE_SIZE, 1).otherwise(F.col("pieces")))
+    dealt = shards.join(sizes, "band").withColumn("piece", F.pmod(F.xxhash64("node", "band"), F.col("pieces")).cast("int"))
+    dealt = cut_lineage(dealt, "shards")
+    links = _checked(_searched(dealt, ["band", "piece"]), texts, docs, text_col)
+    named = cut_lineage(_rooted(texts.select("node"), links), "roots")
+    parted = dealt.drop("root").join(named, "node")
+    several = parted.groupBy("band").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).filter("_least <> _most").select("band")
+    others = F.expr("filter(sequence(0, pieces - 1), p -> p <> piece or pieces = 1)")
+    pairs = parted.join(several, "band").withColumn("_other", F.explode(others)).select(
+        "band", "node", "fingerprint", "root", F.least("piece", "_other").alias("p"), F.greatest("piece", "_other").alias("q")
+    )
+    more = _checked(_searched(pairs, ["band", "p", "q"], True), texts, docs, text_col)
+    named = cut_lineage(_rooted(texts.select("node"), links.union(more)), "roots")
+    named = named.toDF("_node", "_root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("first")
+    chosen = rows.join(named, rows["node"] == F.col("_node")).groupBy("_root").agg(first)
+    chosen = chosen.select("_root", F.col("first.doc_id").alias("_first"), F.col("first.digest").alias("_digest"))
+    kept = docs.join(chosen, (digest == F.col("_digest")) & docs[id_col].eqNullSafe(F.col("_first")))
+    # Only repeated rows are left in a group.
+    line = Window.partitionBy("_root").orderBy("_digest")
+    return kept.withColumn("_nth", F.row_number().over(line)).filter("_nth = 1").drop("_nth", "_root", "_first", "_digest")

@@ -1,0 +1,48 @@
+"""The pipeline's near copies: five-word Jaccard likeness of 0.8 or more, against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from blockframe.llm import near_copies
+
+
+def plain_kept(rows):
+    groups = []
+    for i, text in rows:
+        near = [g for g in groups if any(near_copies.likeness(text, t) >= 0.8 for _, t in g)]
+        groups = [g for g in groups if not any(g is n for n in near)] + [[x for g in near for x in g] + [(i, text)]]
+    return {min(i for i, _ in g) for g in groups}
+
+
+def near_copy_rows(seed=4):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(200)]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 4):
+            copy = list(base)
+            for i in rng.sample(range(200), c * 2):  # likeness of about 0.9, 0.82, 0.74
+                copy[i] = "new"
+            rows.append((10 * k + c, " ".join(copy)))
+    return rows + [(900, None), (901, ""), (902, "one"), (903, "One"), (904, "one two"), (905, "a b c d e f")]
+
+
+@pytest.mark.parametrize("tree_size", [256, 4])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, tree_size):
+    monkeypatch.setattr(near_copies, "TREE_SIZE", tree_size)
+    rows = near_copy_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == plain_kept(rows)
+
+
+def test_near_copies_of_the_data(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, sf_dir).collect()}
+    assert kept == plain_kept(rows)
