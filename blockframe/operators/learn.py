@@ -203,10 +203,17 @@ class OneAgainstRest:
         return PipelineModel([*models, pick])
 
 
-def _fit_labels(stages: _Stages, classifier, label: str, output: str) -> PipelineModel:
-    """Fit the classifier on the assembled features and add the label decoder."""
-    rows = stages.df.filter(F.col(label).isNotNull()).select("features", label)
+def _fit_labels(stages: _Stages, classifier, label: str, output: str, fit_rows: int | None, fit_keys: Iterable[str]) -> PipelineModel:
+    """Fit the classifier on the assembled features and add the label decoder.
+
+    Only the classifier is fitted on at most ``fit_rows`` rows, chosen by
+    ``fit_keys``; the labels, like the features, come from all rows.
+    """
+    known = stages.df.filter(F.col(label).isNotNull())
+    rows = known.select("features", label)
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    if fit_rows is not None:
+        rows = fit_sample(known, fit_rows, *fit_keys).select("features", label)
     labelled = indexer.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = classifier.fit(labelled)
@@ -257,9 +264,15 @@ def train_table_classifier(
     trees: int = 100,
     depth: int = 30,
     seed: int = 42,
+    fit_rows: int | None = None,
+    fit_keys: Iterable[str] = ("source", "table_id"),
 ) -> PipelineModel:
     """Random forest for the class of a table.
 
+    Vocabularies, document frequencies, scales, components, categories and the
+    grid's extent come from all of ``tables``; ``fit_rows`` bounds the labelled
+    rows the forest learns from, the first by a hash of ``fit_keys``.
+
     ``variant='pca'``: scaled numbers reduced to 95 % of their variance, with
     the TF-IDF of content and title under saved vocabularies.
     ``variant='grid'``: entity grid, TF-IDF of title and content together
@@ -282,7 +295,7 @@ def train_table_classifier(
         else:
             raise ValueError("variant must be 'pca' or 'grid'")
         stages.finish(parts)
-        return _fit_labels(stages, _forest(trees, depth, seed), label, output)
+        return _fit_labels(stages, _forest(trees, depth, seed), label, output, fit_rows, fit_keys)
 
 
 def train_cell_classifier(
@@ -293,8 +306,13 @@ def train_cell_classifier(
     trees: int = 100,
     depth: int = 30,
     seed: int = 42,
+    fit_rows: int | None = None,
+    fit_keys: Iterable[str] = ("source", "cell_id"),
 ) -> PipelineModel:
-    """Random forest for the role of a cell: 13 scaled numbers and content TF-IDF."""
+    """Random forest for the role of a cell: 13 scaled numbers and content TF-IDF.
+
+    ``fit_rows`` bounds the rows of the forest only, as for tables.
+    """
     with _Stages(cells) as stages:
         numbers = [
             *CELL_BASE,
@@ -306,7 +324,7 @@ def train_cell_classifier(
             stages.text("cell_content", "_content", content_vocabulary, 50),
         ]
         stages.finish(parts)
-        return _fit_labels(stages, _forest(trees, depth, seed), label, output)
+        return _fit_labels(stages, _forest(trees, depth, seed), label, output, fit_rows, fit_keys)
 
 
 def train_cell_role_svm(
@@ -316,11 +334,14 @@ def train_cell_role_svm(
     text: str = "context",
     k: int = MODEL_TERMS,
     iterations: int = 50,
+    fit_rows: int | None = None,
+    fit_keys: Iterable[str] = ("source", "cell_id"),
 ) -> PipelineModel:
     """Linear SVM for the role of a cell, one against the rest.
 
     Features are the TF-IDF of the neighbour texts (``text='context'``) or of
     content and neighbour texts (``'all'``), and the scaled code of the table class.
+    ``fit_rows`` bounds the rows of the SVMs only, as for tables.
     """
     if text not in ("context", "all"):
         raise ValueError("text must be 'context' or 'all'")
@@ -334,7 +355,7 @@ def train_cell_role_svm(
             stages.scaled(stages.numbers([_code_sql("coalesce(table_class, '')", classes)])),
         ]
         stages.finish(parts)
-        return _fit_labels(stages, OneAgainstRest(iterations), label, output)
+        return _fit_labels(stages, OneAgainstRest(iterations), label, output, fit_rows, fit_keys)
 
 
 def predict_table_class(tables: DataFrame, model: PipelineModel, output: str = "table_class") -> DataFrame:

@@ -1268,7 +1268,7 @@ def _titled_tables(spark, sf_dir):
     return titled.withColumn("table_class", F.when(rows > 6, "BIGRID_STACKED").when(rows > 3, "BIGRID").otherwise("KVP"))
 
 
-# Labelled rows that the registered queries fit models on; all test rows are scored.
+# Labelled rows that the registered queries fit classifiers on; features are fitted on all training rows, all test rows are scored.
 FIT_ROWS = 1000
 
 
@@ -1280,14 +1280,14 @@ def _scored_report(train, test, model, label, predict):
 @query("train_table_classifier")
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
-    model = op.train_table_classifier(op.fit_sample(train, FIT_ROWS, *KEY))
+    model = op.train_table_classifier(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "table_class", op.predict_table_class)
 
 
 @query("train_table_classifier_grid")
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
-    model = op.train_table_classifier(op.fit_sample(train, FIT_ROWS, *KEY), variant="grid")
+    model = op.train_table_classifier(train, variant="grid", fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "table_class", op.predict_table_class)
 
 
@@ -1301,21 +1301,21 @@ def _cells_with_context(spark, sf_dir):
 @query("train_cell_classifier")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id")
-    model = op.train_cell_classifier(op.fit_sample(train, FIT_ROWS, "source", "cell_id"))
+    model = op.train_cell_classifier(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("train_cell_role_svm")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
-    model = op.train_cell_role_svm(op.fit_sample(train, FIT_ROWS, "source", "cell_id"))
+    model = op.train_cell_role_svm(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("train_cell_role_svm_all_text")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
-    model = op.train_cell_role_svm(op.fit_sample(train, FIT_ROWS, "source", "cell_id"), text="all")
+    model = op.train_cell_role_svm(train, text="all", fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 

@@ -102,3 +102,36 @@ def test_choice_of_k_finds_separate_groups(spark):
         ).alias("features")
     )
     assert op.choose_k(points, range(2, 5)) == 3
+
+
+def flat(model):
+    return [x for s in model.stages for x in (flat(s) if hasattr(s, "stages") else [s])]
+
+
+def test_features_are_fitted_on_all_rows(spark, tables):
+    """A bound on the classifier's rows leaves every feature stage as fitted on all rows."""
+    whole, bounded = (flat(op.train_table_classifier(tables, variant="grid", trees=1, depth=2, fit_rows=n)) for n in (None, 10))
+    words = lambda m: [s.vocabulary for s in m if hasattr(s, "vocabulary")]
+    assert words(bounded) == words(whole) and len(words(whole)) == 2
+    scales = lambda m: [x for s in m if hasattr(s, "mean") for x in s.mean]
+    assert scales(bounded) == pytest.approx(scales(whole)) and scales(whole)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["train_table_classifier", "train_table_classifier_grid", "train_cell_classifier", "train_cell_role_svm", "train_cell_role_svm_all_text"],
+)
+def test_queries_hand_the_whole_split_to_the_trainer(spark, sf_dir, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def trainer(rows, **options):
+        raise Seen(rows.count(), options["fit_rows"])
+
+    for each in ("train_table_classifier", "train_cell_classifier", "train_cell_role_svm"):
+        monkeypatch.setattr(op, each, trainer)
+    with pytest.raises(Seen) as seen:
+        q.QUERIES[name](spark, sf_dir)
+    whole = q._titled_tables(spark, sf_dir) if "table" in name else fx.grid_cells(spark, sf_dir)
+    train, _ = op.hash_split(whole, "table_id", 80 if "svm" in name else 75)
+    assert seen.value.args == (train.count(), q.FIT_ROWS)
