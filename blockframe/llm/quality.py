@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import text_or_empty
+from blockframe.llm.common import cut_lineage, text_or_empty
 
 #: Bytes of a passage.
 PASSAGE = 512
@@ -129,6 +129,36 @@ def fit_attention(
     return Attention(mean.astype(np.float32), scale.astype(np.float32), *small)
 
 
+def _chosen(sizes: DataFrame, fit_rows: int, fit_passages: int) -> list[tuple]:
+    """Of ``(_id, _label, _passages, _digest)`` with distinct ids, those to learn from: (id, label, passages, digest)."""
+    placed = sizes.withColumn("_order", F.xxhash64("_id", F.lit("fit")))
+    chosen: dict = {}
+
+    def take(rows: DataFrame, number: int, room: int) -> None:
+        """The first in order that still fit, at most ``number`` of them."""
+        while number > 0 and room > 0:
+            asked = number + len(chosen)
+            got = rows.filter(F.col("_passages") <= room).orderBy("_order", "_id").limit(asked).collect()
+            for r in got:
+                if r["_id"] not in chosen and number > 0 and r["_passages"] <= room:
+                    chosen[r["_id"]] = (r["_id"], r["_label"], r["_passages"], r["_digest"])
+                    number, room = number - 1, room - r["_passages"]
+            if len(got) < asked:
+                break
+            order, last = got[-1]["_order"], got[-1]["_id"]
+            rows = rows.filter((F.col("_order") > order) | (F.col("_order") == order) & (F.col("_id") > F.lit(last)))
+
+    for r in placed.select("_label").distinct().orderBy("_label").collect():
+        kind, before = placed.filter(F.col("_label") == r["_label"]), len(chosen)
+        take(kind, max(1, fit_rows // 8), max(1, fit_passages // 8))
+        if len(chosen) == before:
+            least = kind.orderBy("_passages", "_order", "_id").first()
+            number = min(least["_passages"], max(1, fit_passages // 2))
+            chosen[least["_id"]] = (least["_id"], least["_label"], number, least["_digest"])
+    take(placed, fit_rows - len(chosen), fit_passages - sum(x[2] for x in chosen.values()))
+    return list(chosen.values())
+
+
 def train_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -143,34 +173,40 @@ def train_quality(
     At most ``fit_rows`` documents are learned from, first by a hash of the id,
     and whole documents only as long as they have at most ``fit_passages``
     passages together; those passages' features are all that the driver
-    gathers.  Null labels and ids are left out; of several labels the largest
-    counts.  Without a label of each kind there is no model.
+    gathers.  A document that no longer fits is passed over for those after it.
+    An eighth of both bounds is for each kind of label, the rest for any; of a
+    kind that has no document as small as its share the smallest is taken, of
+    which at most half of ``fit_passages`` are learned from.  Null labels and ids are left out; of several labels the
+    largest counts, and of rows with the same id the one with the smallest hash
+    of its text.  Without a label of each kind there is no model.
     """
     key = docs[id_col]
     open_rows = docs.filter(key.isNotNull() & (F.crc32(key.cast("string")) % 4 != 2))
     known = labels.filter(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("_known")).agg(F.max(label_col).alias("_label"))
-    sizes = open_rows.select(key.alias("_id"), F.octet_length(text_or_empty(docs[text_col])).alias("_bytes"))
-    chosen, total = {}, 0
-    order = F.xxhash64("_id", F.lit("fit"))
-    for r in sizes.join(known, F.col("_id") == F.col("_known")).orderBy(order, "_id").limit(fit_rows).collect():
-        total += max(1, -(-r["_bytes"] // PASSAGE))
-        if total > fit_passages:
-            break
-        chosen[r["_id"]] = r["_label"]
-    if len(set(chosen.values())) < 2:
+    text = text_or_empty(docs[text_col])
+    sizes = open_rows.select(key.alias("_id"), F.struct(F.xxhash64(text).alias("digest"), F.octet_length(text).alias("bytes")).alias("_row"))
+    sizes = sizes.groupBy("_id").agg(F.min("_row").alias("_row"))
+    sizes = sizes.select("_id", F.greatest(F.lit(1), F.ceil(F.col("_row.bytes") / PASSAGE)).alias("_passages"), F.col("_row.digest").alias("_digest"))
+    sizes = sizes.join(known, F.col("_id") == F.col("_known")).select("_id", "_label", "_passages", "_digest")
+    chosen = _chosen(cut_lineage(sizes, "labelled"), fit_rows, fit_passages)
+    if len({x[1] for x in chosen}) < 2:
         return None
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(list(chosen.items()), f"_id {docs.schema[id_col].dataType.simpleString()}, _label int")
+    wanted = spark.createDataFrame(
+        chosen, f"_id {docs.schema[id_col].dataType.simpleString()}, _label int, _number long, _digest long"
+    )
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for label, text in zip(batch["label"], batch["text"]):
-                yield pd.DataFrame({"label": [label], "bag": [passages(text).astype(np.float16).tobytes()]})
+            for label, number, text in zip(batch["label"], batch["number"], batch["text"]):
+                yield pd.DataFrame({"label": [label], "bag": [passages(text, 0, number).astype(np.float16).tobytes()]})
 
     found = (
-        open_rows.select(key.alias("_doc"), docs[text_col].alias("text"))
-        .join(F.broadcast(wanted), F.col("_doc") == F.col("_id"))
-        .select(F.col("_label").alias("label"), "text")
+        open_rows.select(key.alias("_doc"), docs[text_col].alias("text"), F.xxhash64(text).alias("_hash"))
+        .join(F.broadcast(wanted), (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_digest")))
+        .select("_doc", F.col("_label").alias("label"), F.col("_number").alias("number"), "text")
+        .dropDuplicates(["_doc"])
+        .select("label", "number", "text")
     )
     gathered = found.mapInPandas(describe, "label int, bag binary").collect()
     gathered.sort(key=lambda r: (r.label, bytes(r.bag)))
