@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from blockframe.llm.common import text_or_empty
 
-#: Words of an item below which it matches nothing.
-MIN_WORDS = 5
+#: Words of an item below which it matches nothing, and below which it is looked up by its pieces instead of walks.
+MIN_WORDS, WALKED = 1, 15
+#: Least words of the classes of lengths whose recall is measured, and trials of each.
+CLASSES, TRIALS = (15, 20, 30, 60), 100
 #: Coordinates of the embedding that are sampled from, and how many are sampled.
 REACH, SAMPLED = 8, 4
 #: Words between the places of an item from which its windows are embedded.
@@ -66,7 +68,10 @@ class Finder:
     an item's there are candidates.  The samples of all items form a trie, so a
     window is walked only as long as some item still agrees.  ``repeats`` is
     chosen so that items with the most edits allowed are met with probability
-    ``recall``, as measured on edited items.
+    ``recall`` in each class of lengths, as measured on edited items.  Items of
+    fewer than ``WALKED`` words, and those of classes that 32 walks do not bring
+    to ``recall``, are looked up exactly: cut into one piece more than edits
+    allowed, of which one always stands whole.
     """
 
     def __init__(self, items: Sequence[tuple[object, str | None]], similarity: float = 0.8, recall: float = 0.99, seed: int = 11) -> None:
@@ -93,51 +98,74 @@ class Finder:
             self.masks.append(dict(masks))
         rng = np.random.default_rng(seed)
         self.walks: list = []
-        while self.items:
+        self.exact, self.pieces = self.lengths < WALKED, []
+        while not self.exact.all():
             self.walks.append(self._walk(rng))
-            if len(self.walks) in (2, 4, 8, 16, 24, 32) and self._measured(np.random.default_rng(seed + 1)) >= recall:
-                break
-            if len(self.walks) == 32:
-                break
+            if len(self.walks) in (2, 4, 8, 16, 24, 32):
+                short = self._below(recall, np.random.default_rng(seed + 1))
+                if not short.any():
+                    break
+                if len(self.walks) == 32:
+                    self.exact = self.exact | short
+                    break
+        self.pieces = self._cut()
+
+    def _cut(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Levels of a trie of the pieces of ``exact`` items: keys, children, and the pieces that end at each node."""
+        tables: list[dict[int, dict[int, int]]] = []
+        ends: list[dict[int, list[tuple[int, int]]]] = []
+        for k in np.flatnonzero(self.exact).tolist():
+            bounds = np.linspace(0, self.lengths[k], int(self.edits[k]) + 2).astype(int).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                node = 0
+                for level, word in enumerate(self.items[k][a:b].tolist()):
+                    if level == len(tables):
+                        tables.append({})
+                        ends.append(defaultdict(list))
+                    node = tables[level].setdefault(node * self.size + word, len(tables[level]) + 1)
+                ends[b - a - 1][node].append((k, a))
+        out = []
+        for table, at in zip(tables, ends):
+            keys = np.array(sorted(table), dtype=np.int64)
+            children = np.array([table[x] for x in keys.tolist()], dtype=np.int64)
+            counts = np.array([len(at.get(n, ())) for n in range(len(table) + 1)], dtype=np.int64)
+            listed = np.array([x for n in range(len(table) + 1) for x in at.get(n, ())], dtype=np.int64).reshape(-1, 2)
+            out.append((keys, children, counts, listed))
+        return out
 
-    def _walk(self, rng: np.random.Generator) -> tuple[np.ndarray, list[list[np.ndarray]], list[dict]]:
+    def _walk(self, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple]]:
         bits = rng.integers(0, 2, (REACH, self.size), dtype=np.int8)
-        samples = np.sort(rng.choice(np.arange(1, REACH), SAMPLED - 1, replace=False))
-        short = np.arange(SAMPLED)  # of items shorter than REACH
-        made = []
-        for coordinates, lengths in ((samples, (REACH, 1 << 30)), (short[1:], (MIN_WORDS, REACH))):
-            tables = [defaultdict(dict) for _ in range(SAMPLED)]
-            leaves: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            numbers = [1] * SAMPLED
-            for k, item in enumerate(self.items):
-                if not lengths[0] <= len(item) < lengths[1]:
-                    continue
-                need = REACH if lengths[0] == REACH else MIN_WORDS
-                for offset in sorted({*range(0, len(item) - need + 1, STRIDE), len(item) - need}):
-                    at, node = offset, 0
-                    for step in range(int(coordinates[-1]) + 1):
-                        level = 0 if step == 0 else 1 + int(np.searchsorted(coordinates, step))
-                        if step == 0 or step in coordinates:
-                            below = tables[level][node]
-                            word = int(item[at])
-                            if word not in below:
-                                below[word] = numbers[level]
-                                numbers[level] += 1
-                            node = below[word]
-                        at += int(bits[step, item[at]])
-                    leaves[node].append((k, offset))
-            levels = []
-            for level in range(SAMPLED):
-                keys = [(node * self.size + word, child) for node, below in tables[level].items() for word, child in below.items()]
-                keys.sort()
-                levels.append((np.array([a for a, _ in keys], dtype=np.int64), np.array([b for _, b in keys], dtype=np.int64)))
-            ends = [x for node in range(1, numbers[-1]) for x in leaves[node]]
-            counts = np.array([0, *(len(leaves[node]) for node in range(1, numbers[-1]))], dtype=np.int64)
-            made.append((coordinates, levels, counts, np.array(ends, dtype=np.int64).reshape(-1, 2)))
-        return bits, made
+        coordinates = np.sort(rng.choice(np.arange(1, REACH), SAMPLED - 1, replace=False))
+        tables = [defaultdict(dict) for _ in range(SAMPLED)]
+        leaves: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        numbers = [1] * SAMPLED
+        for k, item in enumerate(self.items):
+            if self.exact[k]:
+                continue
+            for offset in sorted({*range(0, len(item) - REACH + 1, STRIDE), len(item) - REACH}):
+                at, node = offset, 0
+                for step in range(int(coordinates[-1]) + 1):
+                    level = 0 if step == 0 else 1 + int(np.searchsorted(coordinates, step))
+                    if step == 0 or step in coordinates:
+                        below = tables[level][node]
+                        word = int(item[at])
+                        if word not in below:
+                            below[word] = numbers[level]
+                            numbers[level] += 1
+                        node = below[word]
+                    at += int(bits[step, item[at]])
+                leaves[node].append((k, offset))
+        levels = []
+        for level in range(SAMPLED):
+            keys = [(node * self.size + word, child) for node, below in tables[level].items() for word, child in below.items()]
+            keys.sort()
+            levels.append((np.array([a for a, _ in keys], dtype=np.int64), np.array([b for _, b in keys], dtype=np.int64)))
+        ends = [x for node in range(1, numbers[-1]) for x in leaves[node]]
+        counts = np.array([0, *(len(leaves[node]) for node in range(1, numbers[-1]))], dtype=np.int64)
+        return bits, [(coordinates, levels, counts, np.array(ends, dtype=np.int64).reshape(-1, 2))]
 
     def candidates(self, text: np.ndarray) -> np.ndarray:
-        """(item, window's place in the text, window's place in the item) of all windows that agree with an item's."""
+        """(item, window's place in the text, window's place in the item) of all windows and pieces that agree with an item's."""
         found = [np.zeros((0, 3), dtype=np.int64)]
         padded = np.concatenate([text, np.zeros(REACH, dtype=text.dtype)])
         known = np.flatnonzero(text)
@@ -163,23 +191,41 @@ class Finder:
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 leaf = ends[np.repeat((np.cumsum(counts) - counts)[node], times) + nth]
                 found.append(np.column_stack([leaf[:, 0], np.repeat(starts, times), leaf[:, 1]]))
+        starts, node = known, np.zeros(len(known), dtype=np.int64)
+        for step, (keys, children, counts, ends) in enumerate(self.pieces):
+            words = padded[starts + step]
+            wanted = node * self.size + words
+            k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            same = (keys[k] == wanted) & (words > 0)
+            starts, node = starts[same], children[k[same]]
+            times = counts[node]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            leaf = ends[np.repeat((np.cumsum(counts) - counts)[node], times) + nth]
+            found.append(np.column_stack([leaf[:, 0], np.repeat(starts, times), leaf[:, 1]]))
         item, place, offset = np.concatenate(found).T
         longest = int(self.lengths.max(initial=0)) + 1
         once = np.unique((place * (len(self.items) + 1) + item) * longest + offset)
         rest, offset = once // longest, once % longest
         return np.column_stack([rest % (len(self.items) + 1), rest // (len(self.items) + 1), offset])
 
-    def _measured(self, rng: np.random.Generator) -> float:
-        """Share of items met after the most edits allowed (random replacements, insertions, losses)."""
-        met = tried = 0
-        for k in rng.permutation(len(self.items))[:100].tolist():
-            words = self.items[k].tolist()
-            for _ in range(allowed(len(words), self.similarity)):
-                i, kind = int(rng.integers(len(words))), int(rng.integers(3))
-                words[i : i + (kind != 1)] = [] if kind == 2 else [int(rng.integers(self.size))]
-            tried += 1
-            met += bool((self.candidates(np.array(words or [0], dtype=np.int32))[:, 0] == k).any())
-        return met / tried
+    def _below(self, recall: float, rng: np.random.Generator) -> np.ndarray:
+        """Walked items of classes of lengths that are met too seldom after the most edits allowed (random replacements, insertions, losses)."""
+        below = np.zeros(len(self.items), dtype=bool)
+        for low, high in zip(CLASSES, [*CLASSES[1:], 1 << 62]):
+            there = (self.lengths >= low) & (self.lengths < high) & ~self.exact
+            members = rng.permutation(np.flatnonzero(there))
+            if not len(members):
+                continue
+            met = 0
+            for k in np.resize(members, TRIALS).tolist():
+                words = self.items[k].tolist()
+                for _ in range(allowed(len(words), self.similarity)):
+                    i, kind = int(rng.integers(len(words))), int(rng.integers(3))
+                    words[i : i + (kind != 1)] = [] if kind == 2 else [int(rng.integers(self.size))]
+                met += bool((self.candidates(np.array(words or [0], dtype=np.int32))[:, 0] == k).any())
+            if met / TRIALS < recall:
+                below |= there
+        return below
 
     def coded(self, words: list[bytes]) -> np.ndarray:
         code = self.codes.get
@@ -266,8 +312,8 @@ def benchmark_passages(
 
     Words are compared in lower case and without punctuation marks.  Items go
     to the tasks in blocks of ``ITEMS``; documents are not shuffled.  Null and
-    empty texts hold nothing; items of fewer than ``MIN_WORDS`` words match
-    nothing; repeated rows give repeated rows.
+    empty texts hold nothing; items without words match nothing, and those of
+    fewer than five allow no edit; repeated rows give repeated rows.
 
     Returns one row for each document and item: ``(doc_id, item_id,
     first_word, end_word, edits, item_words)``, of the place with the fewest
