@@ -550,6 +550,29 @@ def _(spark, sf_dir):
     )
 
 
+_ALL_WORDS_SQL = f"with {GRID}, {_WORDS_SQL}, {_CAPTIONS} select * from words union all select source, concat(cell_id, '_w0'), cell_content from caps"
+
+
+@query("dedupe_all_words", _ALL_WORDS_SQL)
+def _(spark, sf_dir):
+    """As ``dedupe_blocks``, with the words of table titles and footers."""
+    blocks = op.blocks_of_type(_graph(spark, sf_dir, False), "WORD")
+    stale = blocks.withColumns({"Text": F.lit("stale"), "pos": F.col("pos") - F.lit(1 << 40)})
+    return src.dedupe_blocks(stale.unionByName(blocks)).select(
+        "source", F.col("Id").alias("block_id"), F.col("Text").alias("text")
+    )
+
+
+@query("save_and_load_all_words", _ALL_WORDS_SQL)
+def _(spark, sf_dir):
+    """As ``save_and_load_blocks``, with the words of table titles and footers."""
+    path = scratch_path(spark, "blocks")
+    src.save_blocks(op.blocks_of_type(_graph(spark, sf_dir, False), "WORD"), path)
+    return src.load_blocks(spark, path).select(
+        "source", F.col("Id").alias("block_id"), F.col("Text").alias("text")
+    )
+
+
 _ROUND_TRIP_SQL = (
     f"with {GRID} select source, table_id, cell_id, cell_content, coalesce(entity_type, 'none') as entity_type, "
     "case when cell_content = '' then 0 else len(string_split(cell_content, ' ')) end as word_count, row_index, "
@@ -1200,13 +1223,16 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Notifications taken in as a stream; every job is reported once."""
+    return _first_notifications(spark, fx.table(spark, sf_dir, "events").filter("event_id % 7 <> 0"))
+
+
+def _first_notifications(spark, events: DataFrame) -> DataFrame:
     arrived, sink, progress = (scratch_path(spark, n) for n in ("notifications", "first", "progress"))
-    events = fx.table(spark, sf_dir, "events")
     message = F.to_json(
         F.struct(F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("JobId"), F.col("event_type").alias("Status"))
     )
-    body = F.to_json(F.struct(message.alias("Message")))
-    messages = events.filter("event_id % 7 <> 0").select(F.lit("2024-01-01").cast("timestamp").alias("sent"), body.alias("Body"))
+    body = F.when(F.col("event_id") % 7 == 0, "not json").otherwise(F.to_json(F.struct(message.alias("Message"))))
+    messages = events.select(F.lit("2024-01-01").cast("timestamp").alias("sent"), body.alias("Body"))
     src.save_dataset(messages, arrived)
     stream = streaming.decode_notifications(spark.readStream.schema(messages.schema).parquet(arrived))
     first = streaming.first_notifications(stream, "sent")
@@ -1215,6 +1241,15 @@ def _(spark, sf_dir):
     return spark.read.schema("job_id string").parquet(sink)
 
 
+@query(
+    "first_notifications_of_all",
+    "select distinct case when event_id % 7 = 0 then null else concat('job', cast(user_id as varchar)) end as job_id from events",
+)
+def _(spark, sf_dir):
+    """All events on a stream, every seventh unreadable; the unreadable ones have one null id."""
+    return _first_notifications(spark, fx.table(spark, sf_dir, "events"))
+
+
 @query("stream_blocks", _BLOCK_CELLS_SQL)
 def _(spark, sf_dir):
     """Documents written as files, taken in as a stream, cells read from the sink."""

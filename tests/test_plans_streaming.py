@@ -120,3 +120,14 @@ def test_shared_folder_follows_the_setting(spark):
         conf = Conf()
 
     assert session.scratch_path(Session(), "x").startswith("/shared/stages/x-")
+
+
+def test_queries_over_all_words_and_events(spark, sf_dir):
+    """Words of table titles and footers, and unreadable notifications, are in."""
+    from blockframe.plans import queries as q
+
+    for name in ("dedupe_all_words", "save_and_load_all_words"):
+        ids = [r.block_id for r in q.QUERIES[name](spark, sf_dir).select("block_id").collect()]
+        assert len(ids) == len(set(ids)) and any(i.startswith("tt") for i in ids) and any(i.startswith("tf") for i in ids)
+    jobs = [r.job_id for r in q.QUERIES["first_notifications_of_all"](spark, sf_dir).collect()]
+    assert None in jobs and len(jobs) == len(set(jobs))
