@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import decontaminate, near_copies, packing, pii, quality
+from blockframe.llm import decontaminate, packing, pii, quality, simhash
 from blockframe.llm.common import cut_lineage, table
 from blockframe.llm.queries import TOKENIZER
 
@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more of their five-word shingles in common) the document with the smallest id."""
-    return near_copies.one_of_each(docs)
+    """Of each component of fingerprints (three-word shingles, links of at most three bits) the document with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
