@@ -10,6 +10,7 @@ from blockframe.session import cut_lineage
 __all__ = [
     "connected_components",
     "cut_lineage",
+    "free_names",
     "lower_ascii",
     "number_within",
     "shuffle_partitions",
@@ -28,6 +29,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

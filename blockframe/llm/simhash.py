@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import connected_components, cut_lineage, text_or_empty
+from blockframe.llm.common import connected_components, cut_lineage, free_names, text_or_empty
 
 #: Fingerprints a tree holds at most; larger shards are dealt into finer ones.
 TREE_SIZE = 256
@@ -199,10 +199,11 @@ def one_of_each(
     """The rows of ``docs``, with all columns, that stay: of each component the one with the smallest id.
 
     Null ids come last; of rows with that id the one with the smallest hash of
-    its text stays, and of equal rows any one.
+    its text stays, and of equal rows any one.  Columns of any name are kept.
     """
     text = text_or_empty(docs[text_col])
     digest = F.unhex(F.sha2(text, 256))
+    group, least, mark, nth = free_names(docs, "group", "least", "mark", "nth")
     rows = cut_lineage(
         docs.select(
             docs[id_col].alias("doc_id"), digest.alias("digest"), fingerprints(docs[text_col], words_in_shingle).alias("fingerprint")
@@ -212,8 +213,8 @@ def one_of_each(
     named = components(rows, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("first")
     chosen = rows.join(named, rows["fingerprint"] == named["print"]).groupBy("root").agg(first)
-    chosen = chosen.select(F.col("root").alias("_root"), F.col("first.doc_id").alias("_first"), F.col("first.digest").alias("_digest"))
-    kept = docs.join(chosen, (digest == F.col("_digest")) & docs[id_col].eqNullSafe(F.col("_first")))
+    chosen = chosen.select(F.col("root").alias(group), F.col("first.doc_id").alias(least), F.col("first.digest").alias(mark))
+    kept = docs.join(chosen, (digest == F.col(mark)) & docs[id_col].eqNullSafe(F.col(least)))
     # Only repeated rows are left in a group.
-    line = Window.partitionBy("_root").orderBy("_digest")
-    return kept.withColumn("_nth", F.row_number().over(line)).filter("_nth = 1").drop("_nth", "_root", "_first", "_digest")
+    line = Window.partitionBy(group).orderBy(mark)
+    return kept.withColumn(nth, F.row_number().over(line)).filter(F.col(nth) == 1).drop(nth, group, least, mark)

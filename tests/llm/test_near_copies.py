@@ -217,6 +217,15 @@ def test_one_of_each_component_stays(spark):
     assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["_group", "_least", "__mark", "_nth", "_root", "_first", "_digest", "fingerprint"]
+    rows = [(2, "a b c", *"12345678"), (1, "A b c", *"abcdefgh"), (3, None, *"ABCDEFGH"), (3, "", *"ABCDEFGH")]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r["_nth"], r["fingerprint"]) for r in kept.collect()} == {(1, "d", "h"), (3, "D", "H")}
+
+
 # -- passages ---------------------------------------------------------------
 
 
