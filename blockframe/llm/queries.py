@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import decontaminate, fingerprints, hmm, packing, pii, quality, sharding, simhash, substring, url_filters
+from blockframe.llm import byte_bpe, decontaminate, fingerprints, hmm, packing, pii, quality, sharding, simhash, substring, url_filters
 from blockframe.llm.common import table
 
 #: The tokenizer file; a package that every machine has.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Ranks of a vocabulary for many languages.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), RANKS)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -63,5 +69,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring": op10_substring,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL}
