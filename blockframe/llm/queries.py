@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm import byte_bpe, decontaminate, fingerprints, hmm, lexical, packing, pii, quality, sharding, simhash, substring, url_filters
+from blockframe.llm import byte_bpe, decontaminate, fingerprints, hmm, lexical, packing, pii, quality, sharding, simhash, spelling, substring, url_filters
 from blockframe.llm.common import table
 
 #: The tokenizer file; a package that every machine has.
@@ -54,6 +54,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring": op10_substring,
+    "op11_spelling": op11_spelling,
     "op12_lexical": op12_lexical,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL, "op12_lexical": lexical.RANK_SQL}
+ORACLES = {"op4_url_filters": url_filters.JUDGE_SQL, "op11_spelling": spelling.VARIANTS_SQL, "op12_lexical": lexical.RANK_SQL}
