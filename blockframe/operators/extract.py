@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import relation_rank
 from ..functions.geometry import box_columns
 from ..functions.text import join_words
-from ..sources.blocks import dedupe_blocks
+from ..session import cut_lineage
+from ..sources.blocks import BLOCK_KEY, block_key, store_blocks
 
 # Types whose words ``cell_words`` does not list; a table may still list such a block.
 _NOT_ASKED = ("PAGE", "LINE", "WORD", "TABLE")
@@ -67,8 +68,18 @@ def _cell_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.filter(~F.col("BlockType").isin(*_NOT_ASKED))
 
 
-def _unique(blocks: DataFrame, dedupe: bool) -> DataFrame:
-    return dedupe_blocks(blocks) if dedupe else blocks
+def _stored(blocks: DataFrame, dedupe: bool) -> DataFrame:
+    return store_blocks(blocks) if dedupe else blocks
+
+
+def _looked_up(ids: DataFrame, blocks: DataFrame, *columns: Column | str) -> DataFrame:
+    """Join ``ids (source, Id, ...)`` with the blocks of these ids, of which ``columns`` are kept.
+
+    Only the ids are shuffled where the blocks are a table of ``store_blocks``.
+    """
+    if "block_key" not in blocks.columns:
+        blocks = blocks.withColumn("block_key", block_key("source", "Id"))
+    return ids.withColumn("block_key", block_key("source", "Id")).join(blocks.select(*BLOCK_KEY, *columns), BLOCK_KEY).drop("block_key")
 
 
 def table_cells(blocks: DataFrame, dedupe: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -78,10 +89,11 @@ def table_cells(blocks: DataFrame, dedupe: bool = False, carry: Sequence[str] =
 
     ``rel_rank`` and ``pos`` keep the order in which a table lists its cells:
     relation type in fixed order, then place in the id lists.  With ``dedupe``
-    the last block of an id counts.
+    the blocks are stored and the last block of an id counts.
     """
+    blocks = _stored(blocks, dedupe)
     box = F.col("Geometry.BoundingBox")
-    tables = _unique(blocks_of_type(blocks, "TABLE"), dedupe).select(
+    tables = blocks_of_type(blocks, "TABLE").select(
         "*",
         first_entity().alias("table_type"),
         *box_columns(box, "table"),
@@ -93,14 +105,14 @@ def table_cells(blocks: DataFrame, dedupe: bool = False, carry: Sequence[str] =
         )
         .withColumn("rel_rank", relation_rank("rel_type"))
         .filter("rel_rank is not null")
-        .withColumnRenamed("parent_id", "table_id")
+        .withColumnsRenamed({"parent_id": "table_id", "child_id": "Id", "rel_type": "cell_type"})
         .withColumn("pos", F.col("rel_pos") * F.lit(_REL_STRIDE) + F.col("id_pos"))
         .drop("rel_pos", "id_pos")
     )
     # Any block can be listed, so the listed ids alone say which are cells.
-    cells = _unique(blocks, dedupe).select(
-        "source",
-        F.col("Id").alias("child_id"),
+    cells = _looked_up(
+        edges,
+        blocks,
         *carry,
         first_entity().alias("entity_type"),
         *box_columns(box, "cell"),
@@ -109,11 +121,16 @@ def table_cells(blocks: DataFrame, dedupe: bool = False, carry: Sequence[str] =
         F.coalesce("RowSpan", F.lit(1)).alias("row_span"),
         F.coalesce("ColumnSpan", F.lit(1)).alias("column_span"),
     )
-    return (
-        edges.join(cells, ["source", "child_id"])
-        .withColumnRenamed("child_id", "cell_id")
-        .withColumnRenamed("rel_type", "cell_type")
-    )
+    return cells.withColumnRenamed("Id", "cell_id")
+
+
+def _word_text(include_selection: bool) -> Column:
+    return F.coalesce("Text", "SelectionStatus") if include_selection else F.col("Text")
+
+
+def _ordered_words() -> Column:
+    """The texts of a group in the order in which its block lists them."""
+    return F.array_sort(F.collect_list(F.struct("rel_pos", "id_pos", "text"))).getField("text").alias("cell_words")
 
 
 def cell_words(
@@ -124,17 +141,13 @@ def cell_words(
     Child ids without a block or without text are dropped.  With
     ``include_selection`` a selection element gives its status as a word.
     """
-    text = F.col("Text")
-    if include_selection:
-        text = F.coalesce(text, F.col("SelectionStatus"))
-    blocks = _unique(blocks, dedupe)  # first: the last copy of a word may have no text
-    words = blocks.filter(text.isNotNull()).select("source", F.col("Id").alias("child_id"), text.alias("text"))
-    edges = block_edges(_cell_blocks(blocks)).filter("rel_type = 'CHILD'")
+    blocks = _stored(blocks, dedupe)  # first: the last copy of a word may have no text
+    text = _word_text(include_selection)
+    edges = block_edges(_cell_blocks(blocks)).filter("rel_type = 'CHILD'").withColumnRenamed("child_id", "Id")
     return (
-        edges.join(words, ["source", "child_id"])
+        _looked_up(edges, blocks.filter(text.isNotNull()), text.alias("text"))
         .groupBy("source", F.col("parent_id").alias("cell_id"))
-        .agg(F.array_sort(F.collect_list(F.struct("rel_pos", "id_pos", "text"))).alias("w"))
-        .select("source", "cell_id", F.col("w.text").alias("cell_words"))
+        .agg(_ordered_words())
     )
 
 
@@ -143,27 +156,21 @@ def cells_from_blocks(
 ) -> DataFrame:
     """The cells dataset of a block graph.
 
-    Give ``dedupe=False`` when ids are known to be unique per source; it saves
-    sorting the blocks before their shuffle.  Of repeated ids the last block
-    counts, with its relations and its text or lack of it.
+    With ``dedupe`` the blocks are first stored in buckets by id, which the
+    lookups of cells and of words then join without a shuffle of the blocks; of
+    repeated ids the last block counts, with its relations and its text or lack
+    of it.  Give ``dedupe=False`` for a table of ``store_blocks``, or when ids
+    are known to be unique per source and the blocks cheap to read again.
     """
-    text = F.col("Text")
-    if include_selection:
-        text = F.coalesce(text, F.col("SelectionStatus"))
-    blocks = _unique(blocks, dedupe)
-    cells = table_cells(blocks, carry=["Relationships"])
-    place = ["source", "table_id", "rel_rank", "pos"]  # one for each row of cells
-    word_ids = cells.select(*place, F.posexplode("Relationships").alias("rel_pos", "rel")).filter("rel.Type = 'CHILD'")
-    listed = word_ids.select(*place, "rel_pos", F.posexplode("rel.Ids").alias("id_pos", "Id"))
-    known = blocks.filter(text.isNotNull()).select("source", "Id", text.alias("text"))
-    words = (
-        listed.join(known, ["source", "Id"])
-        .groupBy(*place)
-        .agg(F.array_sort(F.collect_list(F.struct("rel_pos", "id_pos", "text"))).alias("w"))
-        .select(*place, F.col("w.text").alias("cell_words"))
-    )
+    blocks = _stored(blocks, dedupe)
+    # Used twice, and numbered: words come back by a number, not by three names.
+    cells = cut_lineage(table_cells(blocks, carry=["Relationships"]).withColumn("_cell", F.monotonically_increasing_id()), "cells")
+    relations = cells.select("_cell", "source", F.posexplode("Relationships").alias("rel_pos", "rel")).filter("rel.Type = 'CHILD'")
+    listed = relations.select("_cell", "source", "rel_pos", F.posexplode("rel.Ids").alias("id_pos", "Id"))
+    text = _word_text(include_selection)
+    words = _looked_up(listed, blocks.filter(text.isNotNull()), text.alias("text")).groupBy("_cell").agg(_ordered_words())
     return (
-        cells.join(words, place, "left")
+        cells.join(words, "_cell", "left")
         .withColumn("cell_words", F.coalesce("cell_words", F.array().cast("array<string>")))
         .withColumn("cell_content", join_words("cell_words"))
         .select(*CELL_COLUMNS, "rel_rank", "pos")

@@ -6,6 +6,7 @@ from .blocks import (
     read_block_pages,
     read_blocks,
     save_blocks,
+    store_blocks,
 )
 from .datasets import (
     concat_datasets,

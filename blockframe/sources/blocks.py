@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from .schema import BLOCK, RESPONSE
 
 _PAGE_STRIDE = 1 << 32
 
+#: What tells blocks apart, the most telling part first.
+BLOCK_KEY = ["block_key", "source", "Id"]
+
 
 def decode_documents(documents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Turn rows ``(source, value)`` with a JSON array in ``value`` into blocks.
@@ -97,6 +101,15 @@ def read_block_pages(
     return decode_responses(files, mode)
 
 
+def block_key(source: str | Column, block_id: str | Column) -> Column:
+    """A hash of both parts of a block's key.
+
+    As the first column to sort by it tells rows apart at once; ids and source
+    names mostly begin alike.
+    """
+    return F.xxhash64(source, block_id)
+
+
 def dedupe_blocks(blocks: DataFrame, keep: str = "last") -> DataFrame:
     """One block per ``(source, Id)``: the last one of the document, or the first.
 
@@ -104,10 +117,29 @@ def dedupe_blocks(blocks: DataFrame, keep: str = "last") -> DataFrame:
     a heavily repeated id sends one row per task.
     """
     order: Column = F.col("pos").desc() if keep == "last" else F.col("pos").asc()
-    window = Window.partitionBy("source", "Id").orderBy(order)
-    return (
-        blocks.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
-    )
+    window = Window.partitionBy(*BLOCK_KEY).orderBy(order)
+    keyed = blocks.withColumn("block_key", block_key("source", "Id"))
+    ranked = keyed.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+    return ranked if "block_key" in blocks.columns else ranked.drop("block_key")
+
+
+def store_blocks(blocks: DataFrame, dedupe: bool = True, keep: str = "last") -> DataFrame:
+    """The blocks as a table in the shared folder, in buckets of ``BLOCK_KEY``.
+
+    Lookups by id join such a table without shuffling it, and repeated ids are
+    removed once for all of them.  The table has one more column,
+    ``block_key``, and as many buckets as shuffles have partitions.
+    """
+    spark = blocks.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if dedupe:
+        held = dedupe_blocks(blocks.withColumn("block_key", block_key("source", "Id")), keep)
+    else:
+        held = blocks.withColumn("block_key", block_key("source", "Id")).repartition(buckets, *BLOCK_KEY)
+    path = scratch_path(spark, "blocks")
+    name = f"blocks_{path.rpartition('-')[2]}"
+    held.write.bucketBy(buckets, *BLOCK_KEY).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def save_blocks(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
