@@ -14,20 +14,23 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import (
-    CountVectorizerModel,
+    ElementwiseProduct,
     IndexToString,
+    Normalizer,
     SQLTransformer,
     StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import CELL_TYPE_CODES, ENTITY_TYPE_CODES
-from .encode import categories, entity_codes, fit_pca, fit_scaler, grid_extent
+from .context_bags import ContextBags, SparseCodes, fit_context_tfidf
+from .encode import categories, entity_codes, fit_pca, fit_scaler
 from .shape import TABLE_NUMBERS
 from .text_features import MODEL_TERMS, drop_stage, fit_tfidf, tfidf_model
 
@@ -37,6 +40,9 @@ CELL_BASE = [
 ]
 
 _CONTENT = "array_join(flatten(flatten(content)), ' ')"
+# Features that an entity grid has at most.
+GRID_POSITIONS = 10_000
+
 _CONTEXTS = ("words_above", "words_left", "words_below", "words_right")
 
 
@@ -56,13 +62,24 @@ def split_bucket(key: str, salt: str = ""):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
 
 
-def fit_sample(train: DataFrame, rows: int, *keys: str) -> DataFrame:
+def fit_sample(train: DataFrame, rows: int, *keys: str, label: str | None = None, classes: int = 1) -> DataFrame:
     """At most ``rows`` labelled rows to fit on, the first by a hash of ``keys``.
 
     A model's fit needs many passes; this bounds them.  Scoring is not bounded.
+    With ``label`` every one of the ``classes`` first gets its share of half the
+    rows, so that a rare class is learnt too.
     """
-    order = F.xxhash64(*keys)
-    return train.orderBy(order, *keys).limit(rows)
+    order = [F.xxhash64(*keys), *keys]
+    first = train.orderBy(*order).limit(rows)
+    if label is None:
+        return first
+    share = max(1, rows // (2 * max(classes, 1)))
+    # Both parts are limited within their tasks before they move.
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    of_class = train.withColumn("_nth", nth).filter(F.col("_nth") <= share).withColumn("_nth", F.lit(0))
+    both = of_class.unionByName(first.withColumn("_nth", F.lit(1)))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("_nth"))
+    return both.withColumn("_copy", copy).filter("_copy = 1").orderBy("_nth", *order).limit(rows).drop("_nth", "_copy")
 
 
 def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> None:
@@ -134,27 +151,31 @@ class _Stages:
         self.add(tfidf_model(vocabulary, f"{output}_text", output, weight, stop_words))
         return output
 
-    def entity_grid(self, output: str = "_grid") -> str:
-        """Entity codes at ``row * width + column``, as a sparse vector.
+    def entity_grid(self, output: str = "_grid", positions: int = GRID_POSITIONS) -> str:
+        """Entity codes at the positions that hold one, as a sparse vector.
 
-        The same numbers as flattening the padded grid, without writing the
-        padding: a code ``n`` is the position listed ``n`` times, then counted.
-        Positions outside the fitted extent do not occur in training and are
-        not features at scoring time.
+        The same numbers as flattening the padded grid, without the positions
+        that are empty in every table.  Of more than ``positions`` those found
+        in most tables are features, the first of equal ones; one aggregation
+        counts them.  Positions that do not occur in training are not features
+        at scoring time.
         """
         codes = entity_codes(self.df)
-        extent = grid_extent(self.df, "entities").first()
-        height, width = max(extent.height, 1), max(extent.width, 1)
-        listed = (
-            "flatten(transform(entities, (r, i) -> flatten(transform(r, (e, j) -> "
-            f"if(j < {width}, array_repeat(cast(i * {width} + j as string), {_code_sql('e', codes)}), "
-            "cast(array() as array<string>))))))"
-        )
-        self.add(SQLTransformer(statement=f"select *, {listed} as {output}_at from __THIS__"))
-        positions = [str(p) for p in range(height * width)]
-        self.add(
-            CountVectorizerModel.from_vocabulary(positions, inputCol=f"{output}_at", outputCol=output)
-        )
+        rows = self.df.select(F.posexplode("entities").alias("i", "_row")).select("i", F.posexplode("_row").alias("j", "_entity"))
+        counted = rows.filter("_entity is not null").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+        found = counted.orderBy(F.desc("n"), "i", "j").limit(positions).select("i", "j").collect()
+        stride = max((r.j for r in found), default=0) + 1
+        places = sorted(r.i * stride + r.j for r in found)
+        self.add(SparseCodes(positions=places, stride=stride, values=[v for v in codes if v is not None], inputCol="entities", outputCol=output))
+        return output
+
+    def context(self, vocabulary: DataFrame, own: str, output: str) -> str:
+        """TF-IDF of the cells' contexts under a vocabulary of ``fit_context_tfidf``."""
+        terms = [(r.term, r.idf) for r in vocabulary.orderBy("term_index").collect()]
+        counts, weighted = f"{output}_counts", f"{output}_weighted"
+        self.add(ContextBags(terms=[t for t, _ in terms], own=own, outputCol=counts))
+        self.add(ElementwiseProduct(inputCol=counts, outputCol=weighted, scalingVec=Vectors.dense([w for _, w in terms])))
+        self.add(Normalizer(inputCol=weighted, outputCol=output, p=2.0))
         return output
 
     def finish(self, parts: list[str], output: str = "features") -> str:
@@ -186,8 +207,7 @@ class OneAgainstRest:
     def __init__(self, iterations: int):
         self.iterations = iterations
 
-    def fit(self, rows: DataFrame) -> PipelineModel:
-        classes = int(rows.agg(F.max("_label")).first()[0]) + 1
+    def fit(self, rows: DataFrame, classes: int) -> PipelineModel:
         models = []
         for i in range(classes):
             svm = LinearSVC(
@@ -210,13 +230,17 @@ def _fit_labels(stages: _Stages, classifier, label: str, output: str, fit_rows:
     ``fit_keys``; the labels, like the features, come from all rows.
     """
     known = stages.df.filter(F.col(label).isNotNull())
+    given = stages.rows.filter(F.col(label).isNotNull()).select(label)
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(given)
     rows = known.select("features", label)
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     if fit_rows is not None:
-        rows = fit_sample(known, fit_rows, *fit_keys).select("features", label)
+        keys = list(fit_keys)
+        rows = fit_sample(known.select("features", label, *keys), fit_rows, *keys, label=label, classes=len(indexer.labels))
+        rows = rows.select("features", label)
     labelled = indexer.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = classifier.fit(labelled)
+        several = isinstance(classifier, OneAgainstRest)
+        fitted = classifier.fit(labelled, len(indexer.labels)) if several else classifier.fit(labelled)
     finally:
         labelled.unpersist()
     decode = IndexToString(inputCol="_prediction", outputCol=output, labels=indexer.labels)
@@ -342,6 +366,11 @@ def train_cell_role_svm(
     Features are the TF-IDF of the neighbour texts (``text='context'``) or of
     content and neighbour texts (``'all'``), and the scaled code of the table class.
     ``fit_rows`` bounds the rows of the SVMs only, as for tables.
+
+    Cells with the lists of ``neighbour_words`` are taken by themselves.  Cells
+    without them must come as whole tables, in training and scoring: their
+    contexts' term counts are added up from those of columns and rows, and no
+    list is written.
     """
     if text not in ("context", "all"):
         raise ValueError("text must be 'context' or 'all'")
@@ -350,11 +379,13 @@ def train_cell_role_svm(
     with _Stages(cells) as stages:
         known = categories(cells, F.coalesce("table_class", F.lit("")))
         classes = {value: code for code, value in enumerate(known)}
-        parts = [
-            stages.text(f"concat_ws(' ', {', '.join(texts)})", "_words", k=k),
-            stages.scaled(stages.numbers([_code_sql("coalesce(table_class, '')", classes)])),
-        ]
-        stages.finish(parts)
+        number = stages.scaled(stages.numbers([_code_sql("coalesce(table_class, '')", classes)]))
+        if set(_CONTEXTS) <= set(cells.columns):
+            words = stages.text(f"concat_ws(' ', {', '.join(texts)})", "_words", k=k)
+        else:
+            own = "cell_content" if text == "all" else ""
+            words = stages.context(fit_context_tfidf(stages.rows, k, own), own, "_words")
+        stages.finish([words, number])
         return _fit_labels(stages, OneAgainstRest(iterations), label, output, fit_rows, fit_keys)
 
 

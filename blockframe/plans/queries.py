@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -1333,6 +1335,54 @@ def _cells_with_context(spark, sf_dir):
     return cell_features(cells, _classed_tables(fx.grid_cells(spark, sf_dir)))
 
 
+_NEAR_TERMS = (
+    "near as (select a.cell_id, unnest(regexp_extract_all(lower({texts}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term "
+    "from g a join g b on a.source = b.source and a.table_id = b.table_id and {near})"
+)
+_AROUND = "((a.column_index = b.column_index and a.row_index <> b.row_index) or (a.row_index = b.row_index and a.column_index <> b.column_index))"
+
+
+def _context_sql(own: bool) -> str:
+    """TF-IDF rows of the cells' contexts by a self-join of each table."""
+    around = _AROUND + (" or a.cell_id = b.cell_id" if own else "")
+    texts = "case when a.cell_id = b.cell_id then b.cell_content else b.txt end" if own else "b.txt"
+    near = _NEAR_TERMS.format(texts=texts, near=f"({around})")
+    stats = _STATS.replace("toks", "near").replace("doc_id", "cell_id")
+    vocabulary = _VOCABULARY.format(k=1000).replace("from documents", "from g")
+    weights = _WEIGHTS.replace("toks", "near").replace("doc_id", "cell_id")
+    return (
+        f"{_TEXTS}, {near}, {stats}, {vocabulary}, {weights} "
+        "select cell_id, term, round(x / size, 6) as weight from raw join norm using (cell_id)"
+    )
+
+
+def _context_weights(spark, sf_dir, own: str):
+    cells = fx.grid_cells(spark, sf_dir).select(*KEY, "cell_id", "cell_type", "cell_words", "cell_content", "row_index", "column_index")
+    vocabulary = op.fit_context_tfidf(cells, 1000, own)
+    weights = {r.term: r.idf for r in vocabulary.collect()}
+    terms = list(weights)
+    counted = op.ContextBags(terms=terms, own=own, outputCol="counts").transform(cells)
+    weighted = ElementwiseProduct(inputCol="counts", outputCol="raw", scalingVec=Vectors.dense(list(weights.values()))).transform(counted)
+    unit = Normalizer(inputCol="raw", outputCol="tfidf", p=2.0).transform(weighted)
+    return op.weights_long(unit, vocabulary, "cell_id").withColumn("weight", F.round("weight", 6))
+
+
+@query("context_weights", _context_sql(False))
+def _(spark, sf_dir):
+    """Weights of the terms around each cell, from bags of columns and rows."""
+    return _context_weights(spark, sf_dir, "")
+
+
+@query("context_weights_all_text", _context_sql(True))
+def _(spark, sf_dir):
+    return _context_weights(spark, sf_dir, "cell_content")
+
+
+def _cells_with_class(spark, sf_dir):
+    """Cells without neighbour lists; their contexts are added up from bags."""
+    return op.attach_table_class(_roles(fx.grid_cells(spark, sf_dir)), _classed_tables(fx.grid_cells(spark, sf_dir)))
+
+
 @query("train_cell_classifier")
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id")
@@ -1342,14 +1392,14 @@ def _(spark, sf_dir):
 
 @query("train_cell_role_svm")
 def _(spark, sf_dir):
-    train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
+    train, test = op.hash_split(_cells_with_class(spark, sf_dir), "table_id", 80)
     model = op.train_cell_role_svm(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
 @query("train_cell_role_svm_all_text")
 def _(spark, sf_dir):
-    train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id", 80)
+    train, test = op.hash_split(_cells_with_class(spark, sf_dir), "table_id", 80)
     model = op.train_cell_role_svm(train, text="all", fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 

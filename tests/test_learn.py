@@ -112,7 +112,9 @@ def test_features_are_fitted_on_all_rows(spark, tables):
     """A bound on the classifier's rows leaves every feature stage as fitted on all rows."""
     whole, bounded = (flat(op.train_table_classifier(tables, variant="grid", trees=1, depth=2, fit_rows=n)) for n in (None, 10))
     words = lambda m: [s.vocabulary for s in m if hasattr(s, "vocabulary")]
-    assert words(bounded) == words(whole) and len(words(whole)) == 2
+    assert words(bounded) == words(whole) and len(words(whole)) == 1
+    grids = lambda m: [s.extractParamMap() for s in m if type(s).__name__ == "SparseCodes"]
+    assert [sorted((p.name, v) for p, v in g.items()) for g in grids(bounded)] == [sorted((p.name, v) for p, v in g.items()) for g in grids(whole)]
     scales = lambda m: [x for s in m if hasattr(s, "mean") for x in s.mean]
     assert scales(bounded) == pytest.approx(scales(whole)) and scales(whole)
 
@@ -135,3 +137,83 @@ def test_queries_hand_the_whole_split_to_the_trainer(spark, sf_dir, monkeypatch,
     whole = q._titled_tables(spark, sf_dir) if "table" in name else fx.grid_cells(spark, sf_dir)
     train, _ = op.hash_split(whole, "table_id", 80 if "svm" in name else 75)
     assert seen.value.args == (train.count(), q.FIT_ROWS)
+
+
+def test_entity_grid_of_a_tall_table(spark):
+    """One table of 50,000 rows: as many features as asked for, those found in most tables first."""
+    tall = spark.range(1).select(F.lit("t0").alias("table_id"), F.expr("transform(sequence(1, 50000), i -> array('a', if(i % 2 = 0, 'b', 'a')))").alias("entities"))
+    small = spark.createDataFrame([("t1", [["a"], [None, "b"]]), ("t2", [["b", "a"]]), ("t3", []), ("t4", None)], "table_id string, entities array<array<string>>")
+    from blockframe.operators.learn import _Stages
+
+    with _Stages(tall.unionByName(small)) as stages:
+        grid = stages.entity_grid(positions=6)
+        rows = {r.table_id: r[grid] for r in stages.df.select("table_id", grid).collect()}
+        places = stages.stages[0].getOrDefault("positions")
+    assert places == [0, 1, 2, 3, 4, 5]  # two columns, the first three rows
+    assert rows["t0"].toArray().tolist() == [1, 1, 1, 2, 1, 1]
+    assert rows["t1"].toArray().tolist() == [1, 0, 0, 2, 0, 0] and rows["t2"].toArray().tolist() == [2, 1, 0, 0, 0, 0]
+    assert rows["t3"].numNonzeros() == rows["t4"].numNonzeros() == 0
+
+
+def test_class_outside_the_sample_can_be_predicted(spark):
+    rows = [(i, "common", "alpha beta") for i in range(400)] + [(1000 + i, "odd", "gamma delta") for i in range(3)] + [(2000 + i, "rare", "omega psi") for i in range(3)]
+    cells = spark.createDataFrame(rows, "cell_id long, cell_role string, cell_content string").withColumns(
+        {"table_class": F.lit("KVP"), **{f"words_{s}": F.split("cell_content", " ") for s in ("above", "left", "below", "right")}}
+    )
+    model = op.train_cell_role_svm(cells, k=20, iterations=10, fit_rows=30, fit_keys=["cell_id"])
+    margins = next(s for s in flat(model) if type(s).__name__ == "HighestMargin")
+    assert len(margins.getInputCols()) == 3
+    guesses = op.predict_cell_role(cells, model, "guess").groupBy("cell_role", "guess").count().collect()
+    assert {(r.cell_role, r.guess) for r in guesses} == {("common", "common"), ("odd", "odd"), ("rare", "rare")}
+
+
+def plain_contexts(rows):
+    """Term counts of each cell's context by comparing all cells of its table."""
+    from collections import Counter
+
+    out = {}
+    for table, i, kind, r, c, words in rows:
+        near = Counter()
+        for other, _, k, r2, c2, w in rows:
+            if kind == k == "CHILD" and table == other and ((c or 0) == (c2 or 0)) != ((r or 0) == (r2 or 0)):
+                near.update(t for t in " ".join(w or ["empty"]).lower().split() if len(t) > 1)
+        out[i] = dict(near)
+    return out
+
+
+def test_context_bags_equal_the_neighbour_texts(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"t{t}", f"c{t}_{i}", rng.choice(["CHILD"] * 5 + ["MERGED_CELL"]), rng.choice([None, 0, 1, 2, 3, 3]), rng.choice([None, 1, 2, 3]), rng.choices(["Ab", "cd", "ef", "x", "empty"], k=rng.randint(0, 4))) for t in range(5) for i in range(25)]
+    rows += [("alone", "one", "CHILD", 1, 1, ["cd"]), ("none", "two", "TABLE_TITLE", 0, 0, ["cd"])]
+    cells = spark.createDataFrame([("s", *r) for r in rows], "source string, table_id string, cell_id string, cell_type string, row_index int, column_index int, cell_words array<string>")
+    vocabulary = op.fit_context_tfidf(cells, 10).orderBy("term_index").collect()
+    terms = [r.term for r in vocabulary]
+    wanted = plain_contexts(rows)
+    assert {r.term: r.term_count for r in vocabulary} == {t: sum(w.get(t, 0) for w in wanted.values()) for t in terms}
+    assert {r.term: r.document_count for r in vocabulary} == {t: sum(t in w for w in wanted.values()) for t in terms}
+    assert set(terms) == {t for w in wanted.values() for t in w}
+    got = op.ContextBags(terms=terms, outputCol="v").transform(cells).collect()
+    assert {r.cell_id: {terms[i]: int(x) for i, x in zip(r.v.indices.tolist(), r.v.values.tolist())} for r in got} == wanted
+    # Fewer terms, and the counts through the neighbour lists.
+    lists = op.neighbour_words(cells).select("cell_id", F.concat_ws(" ", *[F.array_join(f"words_{s}", " ") for s in ("above", "left", "below", "right")]).alias("text"))
+    texts = {r.cell_id: r.text for r in lists.collect()}
+    fewer = op.ContextBags(terms=["cd", "ab"], outputCol="v").transform(cells).collect()
+    assert {r.cell_id: r.v.toArray().tolist() for r in fewer} == {i: [float(texts[i].lower().split().count(t)) for t in ("cd", "ab")] for i in texts}
+    assert op.ContextBags(terms=["cd"], outputCol="v").transform(cells.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["context", "all"])
+def test_role_svm_from_bags_learns_and_reloads(spark, sf_dir, text):
+    cells = q._cells_with_class(spark, sf_dir)
+    train, test = op.hash_split(cells, "table_id", 80)
+    model = op.train_cell_role_svm(train, text=text, k=100, iterations=10, fit_rows=300)
+    scored = op.predict_cell_role(test, model, output="guess")
+    assert set(scored.columns) == {*cells.columns, "guess"} and scored.count() == test.count()
+    path = scratch_path(spark, "svm")
+    op.save_model(model, path)
+    again = op.predict_cell_role(test, op.load_model(path), output="guess")
+    assert again.select("cell_id", "guess").exceptAll(scored.select("cell_id", "guess")).isEmpty()
+    majority = cells.groupBy("cell_role").count().agg(F.max("count") / F.sum("count")).first()[0]
+    assert accuracy(scored, "cell_role", "guess") > majority + (0.15 if text == "all" else 0.05)
