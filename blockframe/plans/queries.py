@@ -277,13 +277,15 @@ def _(spark, sf_dir):
 
 # -- merged cells -------------------------------------------------------------
 
-_GRID_ONCE = f"{GRID}, {MERGED}".replace(" as (", " as materialized (", 1)
+_GRID_ONCE = (
+    f"{GRID}, {MERGED}, ".replace("grid as (", "grid as materialized (", 1).replace("merged as (", "merged as materialized (", 1)
+    + "squares as materialized (select source, table_id, parent, row_index, unnest(range(column_index, column_index + column_span)) as column_index from "
+    "(select source, table_id, cell_id as parent, column_index, column_span, unnest(range(row_index, row_index + row_span)) as row_index from merged))"
+)
 _HITS = (
-    "h1 as (select g.source, g.table_id, g.cell_id, m.cell_id as parent, g.cell_content, g.row_index, g.column_index "
-    "from grid g join merged m on m.source = g.source and m.table_id = g.table_id and m.cell_id like 'm1%' "
-    "and g.row_index between m.row_index and m.row_index + m.row_span - 1 "
-    "and g.column_index between m.column_index and m.column_index + m.column_span - 1), "
-    "t1 as (select source, table_id, parent, trim(coalesce(string_agg(cell_content, ' ' order by column_index, row_index) "
+    "h1 as materialized (select g.source, g.table_id, g.cell_id, s.parent, g.cell_content, g.row_index, g.column_index "
+    "from grid g join squares s using (source, table_id, row_index, column_index) where s.parent like 'm1%'), "
+    "t1 as materialized (select source, table_id, parent, trim(coalesce(string_agg(cell_content, ' ' order by column_index, row_index) "
     "filter (where cell_content <> ''), '')) as txt from h1 group by source, table_id, parent), "
     "s1 as materialized (select g.*, case when t1.txt <> '' then t1.txt else g.cell_content end as text1, "
     "case when t1.txt <> '' then t1.parent end as parent1 from grid g left join h1 using (source, table_id, cell_id) "
@@ -296,10 +298,9 @@ _DISJOINT_SQL = (
 )
 _OVERLAY_SQL = (
     f"with {_GRID_ONCE}, {_HITS}, "
-    "h2 as (select g.*, m.cell_id as parent from s1 g join merged m on m.source = g.source and m.table_id = g.table_id "
-    "and m.cell_id like 'm2%' and g.row_index between m.row_index and m.row_index + m.row_span - 1 "
-    "and g.column_index between m.column_index and m.column_index + m.column_span - 1), "
-    "t2 as (select source, table_id, parent, trim(coalesce(string_agg(text1, ' ' order by column_index, row_index) "
+    "h2 as materialized (select g.source, g.table_id, g.cell_id, g.row_index, g.column_index, g.text1, s.parent "
+    "from s1 g join squares s using (source, table_id, row_index, column_index) where s.parent like 'm2%'), "
+    "t2 as materialized (select source, table_id, parent, trim(coalesce(string_agg(text1, ' ' order by column_index, row_index) "
     "filter (where text1 <> ''), '')) as txt from h2 group by source, table_id, parent) "
     "select s1.source, s1.table_id, s1.cell_id, case when t2.txt <> '' then t2.txt else s1.text1 end as cell_content, "
     "coalesce(case when t2.txt <> '' then t2.parent end, s1.parent1, 'None') as merged_parent_cell_id, "
@@ -318,8 +319,8 @@ def _(spark, sf_dir):
 
 @query("overlay_merged_cells_waves", _OVERLAY_SQL)
 def _(spark, sf_dir):
-    """Same rows with every merged cell replayed in visiting order."""
-    return op.overlay_merged_cells(fx.grid_with_merged(spark, sf_dir), replay_all=True).select(*_OVERLAID)
+    """Same rows with merged cells that share no square aggregated, the others replayed in visiting order."""
+    return op.overlay_merged_cells(fx.grid_with_merged(spark, sf_dir), replay_all=False).select(*_OVERLAID)
 
 
 @query("overlay_disjoint_merged_cells", _DISJOINT_SQL)
