@@ -26,8 +26,7 @@ def split_hot(df: DataFrame, hot: DataFrame, keys=TABLE_KEY) -> tuple[DataFrame,
 
     The keys are joined without a hint: adaptive execution sends them to all
     tasks where it has measured that they are few, and shuffles otherwise.
-    When ``hot`` turns out empty, it drops the second branch before reading
-    anything for it.
+    Both parts read ``df``, so it should be a stored table.
     """
     own = own_shuffle(hot, keys)
     return df.join(own, keys, "left_anti"), df.join(own, keys, "left_semi")

@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on.  Adaptive execution coalesces small shuffle
-# partitions, splits skewed join partitions and drops the hot-table branch of
-# the context operators when no table is hot.
+# partitions and splits skewed join partitions.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
