@@ -19,7 +19,7 @@ from .. import functions as fn
 from .. import operators as op
 from .. import sources as src
 from .. import streaming
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1274,6 +1274,59 @@ def _(spark, sf_dir):
     return cells.select(*_BLOCK_CELL_COLUMNS, _rounded("cell_left"), _rounded("table_width"))
 
 
+@query("stream_responses", _BLOCK_CELLS_SQL)
+def _(spark, sf_dir):
+    """Documents cut into numbered responses, which arrive in three micro-batches in any order; cells read from the sink."""
+    folder, sink, progress = (scratch_path(spark, n) for n in ("responses", "cells", "progress"))
+    graph = fx.block_graph(spark, sf_dir, layout=False)
+    number = F.floor(F.substring("document", 2, 20).cast("bigint") / 500)
+    # At most 500 tables a document; its blocks are dealt to twelve responses.
+    graph = graph.withColumn("source", F.concat_ws("-", "source", number)).drop("document")
+    block = F.struct(*[c for c in graph.columns if c not in ("source", "pos")])
+    page_no = F.pmod(F.xxhash64("Id"), F.lit(12)) + 1
+    pages = graph.groupBy("source", page_no.alias("page_no")).agg(F.collect_list(block).alias("Blocks"))
+    numbers = Window.partitionBy("source").orderBy("page_no")
+    pages = pages.withColumns({"token": F.lead("page_no").over(numbers).cast("string"), "page_no": F.row_number().over(numbers)})
+    responses = cut_lineage(pages.select("source", "page_no", F.to_json(F.struct("Blocks", F.col("token").alias("NextToken"))).alias("value")), "pages")
+    for turn in range(3):
+        arrived = responses.filter(F.pmod(F.xxhash64("page_no", "source"), F.lit(3)) == turn)
+        arrived.withColumn("arrived", F.lit(f"2024-01-01 00:0{turn}:00").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("source string, page_no int, value string, arrived timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    streaming.write_stream(streaming.stream_responses(stream), sink, progress, available_now=True).awaitTermination()
+    cells = spark.read.parquet(sink).withColumn("source", F.substring_index("source", "-", 1))
+    return cells.select(*_BLOCK_CELL_COLUMNS, _rounded("cell_left"), _rounded("table_width"))
+
+
+@query(
+    "follow_jobs",
+    "select concat('job', cast(event_id as varchar)) as job_id, case when event_id % 6 = 0 then event_type end as status, "
+    "case when event_id % 6 = 0 then strftime(ts + interval 1 hour, '%Y-%m-%d %H:%M:%S.%f') end as sent_at from events where event_id % 3 = 0",
+)
+def _(spark, sf_dir):
+    """Jobs and notifications as two streams: one job in two is answered in time, one in three of the others too late."""
+    asked_path, told_path, sink, progress = (scratch_path(spark, n) for n in ("jobs", "told", "followed", "progress"))
+    events = fx.table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    job = F.concat(F.lit("job"), F.col("event_id").cast("string")).alias("job_id")
+    late = F.when(F.col("event_id") % 6 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 3 days"))
+    jobs = events.select(job, F.col("ts").cast("timestamp").alias("submitted"))
+    told = events.filter("event_id % 6 = 0 or event_id % 9 = 0").select(job, F.col("event_type").alias("status"), (F.col("ts").cast("timestamp") + late).alias("sent"))
+    clock = spark.sql("select 'clock' as job_id, 'tick' as status, timestamp'2030-01-01' as at")  # lets all jobs expire
+    cuts = ["2000-01-01", "2024-01-11", "2024-01-21", "2029-01-01"]
+    for begin, end in zip(cuts, cuts[1:]):
+        for rows, at, path in ((jobs, "submitted", asked_path), (told, "sent", told_path)):
+            rows.filter((F.col(at) >= begin) & (F.col(at) < end)).coalesce(1).write.mode("append").parquet(path)
+    clock.select("job_id", F.col("at").alias("submitted")).write.mode("append").parquet(asked_path)
+    clock.select("job_id", "status", F.col("at").alias("sent")).write.mode("append").parquet(told_path)
+
+    def stream(rows, path):
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    followed = streaming.follow_jobs(stream(jobs, asked_path), stream(told, told_path))
+    writer = followed.select("job_id", "status", F.date_format("sent", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at")).writeStream.format("parquet").option("path", sink)
+    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id string, status string, sent_at string").parquet(sink).filter("job_id <> 'clock'")
+
+
 # -- whole plans and learning -------------------------------------------------
 
 
