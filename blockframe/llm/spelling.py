@@ -1,4 +1,4 @@
-"""Spelling variants: all words walk a trie, held as an edge table, with at most one edit."""
+"""Spelling variants: all words walk tries, held as an edge table, with at most one edit."""
 
 from __future__ import annotations
 
@@ -17,13 +17,16 @@ SHORTEST, LEAST, DIVISOR = 6, 5, 199
 RUN = rf"[A-Za-zÀ-ÿ]{{{SHORTEST},}}"
 #: A form occurs at least so many times as often.
 TIMES = 5
-#: Levels with at most 91 * 91 edges, since letters are 90 at most: these are broadcast, lower ones are joined.
+#: Levels broadcast: letters are 90 at most, so the tries' first nodes have at most 2 * 90, then 2 * 90 * 91 edges of each kind.
 SHALLOW = 2
 #: Prefixes that leave a task at a time.
 SLAB = 1 << 16
 
 _AT, _LENGTH = "substring(word, pos + 1, {0})", "length(label)"
 _REST = _AT.format(_LENGTH)
+#: Bits of the letters, a-z first: 63 in the first number, the others in the second.
+_BIT = "(ascii({0}) - if(ascii({0}) < 128, 97, 166))"
+_FOLLOWS = f"(shiftright(if({_BIT} < 63, low, high), {_BIT} % 63) & 1) = 1".format(_AT.format(1))
 
 
 def counted_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,116 +41,174 @@ def counted_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter((F.length("word") >= SHORTEST) & (F.col("n") >= LEAST))
 
 
-def prefixes(words: DataFrame) -> DataFrame:
-    """``(whole, depth, node, next)`` for every prefix of every word: the node is its 128-bit hash, ``next`` the character behind it."""
+def both_ways(words: DataFrame) -> DataFrame:
+    """The words as they are (side 0) and reversed (side 1), numbered, with the characters ``must`` that a walk has to match first.
+
+    Of two words one edit apart, the first half of either agrees or what is
+    behind it does, so the edit is looked for behind the half that agrees.
+    """
+    half = F.floor(F.length("word") / 2).cast("int")
+    numbered = words.select("word", "n", half.alias("half"), F.monotonically_increasing_id().alias("no"))
+    ways = [
+        numbered.select(F.lit(0).alias("side"), "no", "word", "n", "half", F.col("half").alias("must")),
+        numbered.select(F.lit(1).alias("side"), "no", F.reverse("word").alias("word"), "n", "half", (F.length("word") - F.col("half")).alias("must")),
+    ]
+    return cut_lineage(ways[0].unionByName(ways[1]), "both_ways")
+
+
+def root_of(side: int) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(bytes([side])))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def prefixes(ways: DataFrame) -> DataFrame:
+    """``(side, no, depth, node, low, high, ends)`` for every prefix of every word.
+
+    ``node`` is the hash of side and prefix; the character behind the prefix is
+    a bit of ``low`` or ``high``, the end of the word ``ends``.
+    """
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["whole", "depth", "node", "next"]
+        names = ["side", "no", "depth", "node", "low", "high", "ends"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        def packed(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+        columns: list[list] = [[] for _ in names]
+        sides, numbers, depths, nodes, lows, highs, ends = columns
         for batch in batches:
-            rows: list[tuple] = []
-            for whole, word in zip(batch.column("whole").to_pylist(), batch.column("word").to_pylist()):
-                state = xxhash.xxh3_128()
+            for side, no, word in zip(*(batch.column(c).to_pylist() for c in ("side", "no", "word"))):
+                state = xxhash.xxh3_64(bytes([side]))
                 for depth, letter in enumerate(word):
-                    rows.append((whole, depth, state.digest(), letter))
+                    point = ord(letter)
+                    bit = point - (97 if point < 128 else 166)
+                    depths.append(depth)
+                    nodes.append(_signed(state.intdigest()))
+                    lows.append(1 << bit if bit < 63 else 0)
+                    highs.append(1 << bit - 63 if bit >= 63 else 0)
+                    ends.append(0)
                     state.update(letter.encode())
-                    if len(rows) >= SLAB:
-                        yield packed(rows)
-                        rows = []
-                rows.append((whole, len(word), state.digest(), ""))
-            if rows:
-                yield packed(rows)
+                    if len(depths) >= SLAB:
+                        sides += [side] * (len(depths) - len(sides))
+                        numbers += [no] * (len(depths) - len(numbers))
+                        yield packed(columns)
+                        for c in columns:
+                            c.clear()
+                depths.append(len(word))
+                nodes.append(_signed(state.intdigest()))
+                lows.append(0)
+                highs.append(0)
+                ends.append(1)
+                sides += [side] * (len(depths) - len(sides))
+                numbers += [no] * (len(depths) - len(numbers))
+        if depths:
+            yield packed(columns)
 
-    return words.select("whole", "word").mapInArrow(spelled, "whole binary, depth int, node binary, next string")
+    schema = "side int, no long, depth int, node long, low long, high long, ends int"
+    return ways.select("side", "no", "word").mapInArrow(spelled, schema)
 
 
-def edge_table(words: DataFrame) -> DataFrame:
-    """The trie of ``words (word, n, whole)`` with its unbranched stretches joined: one row for each edge.
+def edge_table(ways: DataFrame) -> DataFrame:
+    """The tries of the words and of the reversed words, unbranched stretches joined: one row for each edge.
 
-    ``(level, parent, first, label, child, nexts, ends, ends_n)``: ``label`` is
-    the stretch of characters, ``nexts`` the characters that may follow the
-    child, ``ends`` the word that ends there.  A node is a branching prefix or
-    a word; the path to it has ``level + 1`` edges.
+    ``(level, parent, first, label, child, low, high, ends, ends_n)``: ``label``
+    is the stretch of characters.  A node is a branching prefix or a word, and
+    its path has ``level + 1`` edges.  An edge to a branch has the characters
+    that may follow in ``low`` and ``high``; an edge to the end of a word has
+    that word in ``ends``.  Where a word is a prefix of others there are both.
     """
-    found = cut_lineage(prefixes(words), "prefixes")
-    nodes = found.groupBy("node").agg(F.collect_set("next").alias("letters"), F.max("depth").alias("depth"))
-    nodes = nodes.filter((F.size("letters") > 1) | F.array_contains("letters", "") | (F.col("depth") == 0))
-    nodes = cut_lineage(nodes.select("node", "depth", F.array_join("letters", "").alias("nexts")), "nodes")
-    steps = found.select("whole", "node", "depth")
-    # The first nodes are on many words' paths; there are at most 91 * 91 of them.
-    near = steps.filter(F.col("depth") < SHALLOW).join(F.broadcast(nodes.filter(F.col("depth") < SHALLOW).drop("depth")), "node")
-    far = steps.filter(F.col("depth") >= SHALLOW).join(nodes.filter(F.col("depth") >= SHALLOW).drop("depth"), "node")
-    paths = near.unionByName(far).groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "nexts"))).alias("path"))
-    each = paths.join(words.select("whole", "word", "n"), "whole").select(
-        "word", "n", "path", F.explode(F.expr("sequence(1, size(path) - 1)")).alias("i")
-    )
-    ends = F.expr("path[i].depth = length(word)")
-    edges = each.select(
-        F.expr("i - 1").alias("level"),
-        F.expr("path[i - 1].node").alias("parent"),
-        F.expr("substring(word, path[i - 1].depth + 1, path[i].depth - path[i - 1].depth)").alias("label"),
-        F.expr("path[i].node").alias("child"),
-        F.expr("path[i].nexts").alias("nexts"),
-        F.when(ends, F.col("word")).alias("ends"),
-        F.when(ends, F.col("n")).alias("ends_n"),
-    )
-    edges = edges.groupBy("level", "parent", "child").agg(
-        F.first("label").alias("label"), F.first("nexts").alias("nexts"), F.max("ends").alias("ends"), F.max("ends_n").alias("ends_n")
-    )
-    return cut_lineage(edges.withColumn("first", F.substring("label", 1, 1)), "edges")
+    found = cut_lineage(prefixes(ways), "prefixes")
+    bits = [F.bit_or("low").alias("low"), F.bit_or("high").alias("high")]
+    nodes = found.groupBy("depth", "node").agg(*bits, F.max("ends").alias("word_end"))
+    nodes = nodes.filter((F.bit_count("low") + F.bit_count("high") + F.col("word_end") > 1) | (F.col("depth") == 0))
+    nodes = cut_lineage(nodes.drop("word_end"), "nodes")
+    steps = found.filter("ends = 0").select("side", "no", "node", "depth")
+    # The first nodes are on many words' paths; their number is bounded.
+    key = ["depth", "node"]
+    near = steps.filter(F.col("depth") < SHALLOW).join(F.broadcast(nodes.filter(F.col("depth") < SHALLOW)), key)
+    far = steps.filter(F.col("depth") >= SHALLOW).join(nodes.filter(F.col("depth") >= SHALLOW), key)
+    stop = F.struct("depth", "node", "low", "high")
+    paths = near.unionByName(far).groupBy("side", "no").agg(F.sort_array(F.collect_list(stop)).alias("path"))
+    each = cut_lineage(ways.select("side", "no", "word", "n").join(paths, ["side", "no"]), "paths")
+    label = "substring(word, path[i - 1].depth + 1, path[i].depth - path[i - 1].depth)"
+    inner = each.filter("size(path) > 1").select("word", "path", F.explode(F.expr("sequence(1, size(path) - 1)")).alias("i")).select(
+        F.expr("i - 1").alias("level"), F.expr("path[i - 1].node").alias("parent"), F.expr(label).alias("label"),
+        F.expr("path[i].node").alias("child"), F.expr("path[i].low").alias("low"), F.expr("path[i].high").alias("high"),
+    ).distinct()
+    inner = inner.withColumns({"ends": F.lit(None).cast("string"), "ends_n": F.lit(None).cast("long")})
+    last = each.select("word", "n", F.size("path").alias("steps"), F.expr("path[size(path) - 1]").alias("at"))
+    last = last.filter("at.depth < length(word)").select(
+        F.expr("steps - 1").alias("level"), F.expr("at.node").alias("parent"), F.expr("substring(word, at.depth + 1, length(word))").alias("label"),
+        F.lit(0).cast("long").alias("child"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"),
+        F.col("word").alias("ends"), F.col("n").alias("ends_n"),
+    )
+    return cut_lineage(inner.unionByName(last).withColumn("first", F.substring("label", 1, 1)), "edges")
 
 
 def outcomes() -> Column:
     """Where a word without an edit may stand behind an edge, by the characters from ``pos`` on.
 
     The edit, if there is one, is where the word first leaves the path, so no
-    word meets another twice.
+    word meets another twice on one side; the first ``must`` characters agree.
     """
+    ahead = "must - pos"
+    free = f"({ahead} <= 0 or ({_LENGTH} > {ahead} and substring(label, 1, {ahead}) = {_AT.format(ahead)}))"
     same = f"{_REST} = label"
     replaced = f"length({_REST}) = {_LENGTH} and levenshtein(label, {_REST}, 1) = 1"
     less, more = _AT.format(f"{_LENGTH} - 1"), _AT.format(f"{_LENGTH} + 1")
     missing = f"length({less}) = {_LENGTH} - 1 and levenshtein(label, {less}, 1) = 1"
     extra = f"length({more}) = {_LENGTH} + 1 and levenshtein(label, {more}, 1) = 1"
     one = [f"if({test}, named_struct('pos', pos + {_LENGTH} + {d}, 'edits', 1), null)" for test, d in ((replaced, 0), (missing, -1), (extra, 1))]
-    return F.expr(f"if({same}, array(named_struct('pos', pos + {_LENGTH}, 'edits', 0)), filter(array({', '.join(one)}), o -> o is not null))")
+    return F.expr(f"if({same}, array(named_struct('pos', pos + {_LENGTH}, 'edits', 0)), if({free}, array({', '.join(one)}), null))")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``(word, other, other_n)``: every ordered pair of words that differ by exactly one edit, each once.
+    """``(word, other, other_n)``: every ordered pair of ``words (word, n)`` that differ by exactly one edit, each once.
 
-    States (word, pos, node, edits) begin at the root and are joined with the
-    edges of one level after another.  A state with its edit behind it follows
-    the one edge that begins with its next character; it is kept only where
-    the child goes on, or ends, as the word does.
+    States (word, position, node, edits) begin at the roots and are joined with
+    the edges of one level after another.  A state that may not leave the path,
+    because its edit is behind it or still to come, follows the one edge that
+    begins with its next character; the others try all edges of their node.  A
+    state is kept only where the node goes on, or ends, as the word does.
     """
-    edges = edge_table(words)
+    ways = both_ways(words)
+    edges = edge_table(ways)
     deepest = edges.agg(F.max("level")).first()[0]
-    root = F.lit(xxhash.xxh3_128().digest())
-    states = words.select("word", F.lit(0).alias("pos"), root.alias("node"), F.lit(0).alias("edits"))
+    root = F.when(F.col("side") == 0, root_of(0)).otherwise(root_of(1))
+    states = ways.select("side", "word", "half", "must", F.lit(0).alias("pos"), root.alias("node"), F.lit(0).alias("edits"))
+    own = ["side", "word", "half", "must"]
+    bound = "(edits = 1 or pos < must)"
+    remaining = "(length(word) - pos)"
     pairs = None
     for level in range(0 if deepest is None else deepest + 1):
-        here = edges.filter(F.col("level") == level)
+        here = edges.filter(F.col("level") == level).drop("level")
         if level < SHALLOW:
             here = F.broadcast(here)
-        whole = states.filter("edits = 0").join(here, F.col("node") == F.col("parent"))
-        whole = whole.withColumn("o", F.explode(outcomes())).select("word", F.col("o.pos").alias("pos"), F.col("o.edits").alias("edits"), "child", "nexts", "ends", "ends_n")
-        edited = states.filter("edits = 1").join(here, (F.col("node") == F.col("parent")) & (F.expr(_AT.format(1)) == F.col("first")))
-        edited = edited.filter(f"{_REST} = label").select("word", F.expr(f"pos + {_LENGTH}").alias("pos"), "edits", "child", "nexts", "ends", "ends_n")
-        reached = whole.unionByName(edited)
-        ended = "(ends is not null and length(word) - pos + edits = 1)"
-        onward = f"if(edits = 0, nexts <> '', pos < length(word) and instr(nexts, {_AT.format(1)}) > 0)"
-        reached = reached.select("*", F.expr(f"coalesce({ended}, false)").alias("ended"), F.expr(onward).alias("onward")).filter("ended or onward")
+        tied = states.filter(bound).join(here, (F.col("node") == F.col("parent")) & (F.expr(_AT.format(1)) == F.col("first")))
+        loose = states.filter(f"not {bound}").join(here, F.col("node") == F.col("parent"))
+        target = ["child", "low", "high", "ends", "ends_n"]
+        followed = tied.filter(f"edits = 1 and {_REST} = label").select(*own, F.expr(f"pos + {_LENGTH}").alias("pos"), "edits", *target)
+        tried = tied.filter("edits = 0").unionByName(loose).select(*own, F.explode(outcomes()).alias("o"), *target).filter("o is not null")
+        tried = tried.select(*own, F.col("o.pos").alias("pos"), F.col("o.edits").alias("edits"), *target)
+        reached = followed.unionByName(tried)
+        # The other side finds what agrees in its half too.
+        ended = f"ends is not null and {remaining} + edits = 1 and not (side = 1 and right(word, half) = right(ends, half))"
+        onward = f"ends is null and if({bound}, {remaining} > 0 and {_FOLLOWS}, true)"
+        reached = reached.select("*", F.expr(ended).alias("ended"), F.expr(onward).alias("onward")).filter("ended or onward")
         reached = cut_lineage(reached, "frontier")
-        found = reached.filter("ended").select("word", F.col("ends").alias("other"), F.col("ends_n").alias("other_n"))
+        found = reached.filter("ended").select("side", "word", F.col("ends").alias("other"), F.col("ends_n").alias("other_n"))
         pairs = found if pairs is None else pairs.unionByName(found)
-        states = reached.filter("onward").select("word", "pos", F.col("child").alias("node"), "edits")
+        states = reached.filter("onward").select(*own, "pos", F.col("child").alias("node"), "edits")
     if pairs is None:
         return words.select("word", F.col("word").alias("other"), F.col("n").alias("other_n")).filter(F.lit(False))
-    return pairs
+    # Nodes are named by 64 bits: a pair that only a clash of names joined is dropped here.
+    pairs = pairs.filter("levenshtein(word, other, 1) = 1")
+    forth = [F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c)).alias(c) for c in ("word", "other")]
+    return pairs.select(*forth, "other_n")
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
@@ -175,8 +236,7 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Returns ``(word, form, root, n, n_near, form_n)``.
     """
-    words = counted_words(docs, id_col, text_col).withColumn("whole", F.unhex(F.md5("word")))
-    words = cut_lineage(words, "words")
+    words = cut_lineage(counted_words(docs, id_col, text_col), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best")
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     near = near.withColumnRenamed("word", "of")
