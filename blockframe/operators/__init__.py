@@ -1,5 +1,5 @@
 from .annotate import annotate_cells, annotate_tables, annotate_tagged_cells, rejected_pages
-from .cluster import best_k, choose_k, cluster_tables, kmeans, silhouette, silhouette_scores
+from .cluster import best_k, choose_k, cluster_tables, kmeans, silhouette, silhouette_scores, silhouettes
 from .context import neighbour_words, words_above, words_below, words_left, words_right
 from .encode import (
     assemble,
@@ -11,6 +11,7 @@ from .encode import (
     fit_scaler,
     fit_scaling,
     grid_extent,
+    label_codes,
     label_encode,
     label_encoder,
     one_hot,

@@ -19,15 +19,19 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import lookup
 from ..functions.grid import flatten_grid, grid_width, pad_grid
+from ..session import cut_lineage
+from .skew import own_shuffle
 
 # A category column becomes one feature per value, so more values than this is
 # taken for a mistake and refused (never cut).
 MOST_CATEGORIES = 10_000
+# Places that every row of a padded grid has at most.
+MOST_PADDED = 100_000
 
 
 def categories(df: DataFrame, column: str | Column, most: int = MOST_CATEGORIES) -> list:
@@ -59,10 +63,39 @@ def label_encoder(df: DataFrame, column: str, output: str) -> StringIndexerModel
     return StringIndexerModel.from_labels(values, inputCol=column, outputCol=output, handleInvalid="keep")
 
 
+def label_codes(df: DataFrame, column: str) -> DataFrame:
+    """``(value, code)``: the distinct values of a column as text, numbered from 0 in ascending order.
+
+    For any number of values: they are sorted into ranges, counted by range and
+    numbered within it, behind the counts of the ranges before; no list passes
+    through the driver and no task holds more than a range.
+    """
+    values = df.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct()
+    ranged = cut_lineage(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()), "values")
+    # One row for each range.
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    before = Window.partitionBy("_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+    return ranged.withColumn("_place", place).join(offsets, "_range").select("value", (F.col("_offset") + F.col("_place")).alias("code"))
+
+
 def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
+    """Codes from 0 for the sorted distinct values, as text; null has the code behind the last.
+
+    Up to ``MOST_CATEGORIES`` values are looked up row by row.  More are
+    numbered as by ``label_codes`` and joined; there codes are long.
+    """
     output = output or f"{column}_encoded"
-    encoded = label_encoder(df, column, output).transform(df)
-    return encoded.withColumn(output, F.col(output).cast("int"))
+    found = df.select(F.col(column).cast("string").alias("v")).distinct().limit(MOST_CATEGORIES + 2).count()
+    if found <= MOST_CATEGORIES:
+        encoded = label_encoder(df, column, output).transform(df)
+        return encoded.withColumn(output, F.col(output).cast("int"))
+    codes = cut_lineage(label_codes(df, column), "codes")
+    behind = codes.count()
+    names = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    joined = df.drop(output).join(own_shuffle(names, ["_value"]), F.col(column).cast("string") == F.col("_value"), "left")
+    return joined.withColumn(output, F.coalesce("_code", F.lit(behind))).drop("_value", "_code")
 
 
 def entity_categories(tables: DataFrame, column: str = "entities") -> DataFrame:
@@ -100,9 +133,14 @@ def padded_grid(
 ) -> DataFrame:
     """Pad each grid to the same height and width; ``flat`` gives one list per row.
 
-    ``extent`` is a fitted (height, width); without it the data is measured first.
+    For exports: every row becomes as long as the tallest and widest grid asks
+    for, so one of more than ``MOST_PADDED`` places is refused.  Models take the
+    sparse form.  ``extent`` is a fitted (height, width); without it the data is
+    measured first.
     """
     height, width = extent or grid_extent(tables, column).first()
+    if height * width > MOST_PADDED:
+        raise ValueError(f"{height} x {width} places a row; take the sparse form")
     grid = pad_grid(column, height, width)
     return tables.withColumn(output, flatten_grid(grid) if flat else grid)
 

@@ -212,7 +212,7 @@ def block_report(blocks: DataFrame) -> DataFrame:
         kind.alias("block_type"),
         F.array_join("EntityTypes", ", ").alias("entity_types"),
         F.col("Text").alias("text"),
-        F.when(kind != "PAGE", F.format_string("%.2f%%", F.col("Confidence"))).alias("confidence"),
+        F.when((kind != "PAGE") & F.col("Confidence").isNotNull(), F.format_string("%.2f%%", F.col("Confidence"))).alias("confidence"),
         F.col("Page").alias("page"),
         F.when(is_cell, F.col("ColumnIndex")).alias("column_index"),
         F.when(is_cell, F.col("RowIndex")).alias("row_index"),

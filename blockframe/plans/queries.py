@@ -371,6 +371,22 @@ _BLOCK_CELLS_SQL = (
     "select u.*, a.table_page, a.table_type, round(a.table_width, 6) as table_width "
     "from u join attrs a using (source, table_id)"
 )
+# Every block of the graph: place in its document, type, text, page and grid position.
+_ALL_BLOCKS = (
+    f"{GRID}, {MERGED}, {_CAPTIONS}, {_ATTRIBUTES}, {TITLES}, "
+    "cell_words as (select source, table_id, cell_id, table_page, row_index * 4 + column_index as p, string_split(cell_content, ' ') as l, "
+    "unnest(range(1, 1 + len(string_split(cell_content, ' ')))) as i from grid where cell_content <> ''), "
+    "blocks as (select source, table_id as document, cast(row_index * 4 + column_index as bigint) as pos, cell_id as block_id, 'CELL' as block_type, "
+    "cast(null as varchar) as text, table_page as page, row_index, column_index, 1 as row_span, 1 as column_span, entity_type, 99.5 as confidence from grid union all "
+    "select source, table_id, 1048576 + p * 8 + i - 1, concat(cell_id, '_w', cast(i - 1 as varchar)), 'WORD', l[i], table_page, null, null, null, null, null, 98.25 from cell_words union all "
+    "select source, table_id, 1073741824 + case when cell_id like 'm1%' then 0 else 1 end, cell_id, 'MERGED_CELL', null, cast(cast(substr(table_id, 2) as bigint) % 50 as int), "
+    "row_index, column_index, row_span, column_span, null, null from merged union all "
+    "select source, table_id, -1, table_id, 'TABLE', null, table_page, null, null, null, null, table_type, null from attrs union all "
+    "select source, table_id, 2147483648 + case when cell_type = 'TABLE_TITLE' then 0 else 2 end, cell_id, cell_type, null, table_page, null, null, null, null, null, null from caps union all "
+    "select source, table_id, 2147483648 + case when cell_type = 'TABLE_TITLE' then 1 else 3 end, concat(cell_id, '_w0'), 'WORD', cell_content, table_page, null, null, null, null, null, null from caps union all "
+    "select source, layout_title_id, 0, layout_title_id, 'LAYOUT_TITLE', null, layout_title_page, null, null, null, null, null, layout_title_confidence from titles union all "
+    "select source, layout_title_id, 1, concat('line_', layout_title_id), 'LINE', layout_title_text, layout_title_page, null, null, null, null, null, null from titles)"
+)
 _BLOCK_CELL_COLUMNS = [
     "source", "table_id", "cell_id", "cell_type", "entity_type", "cell_content", "row_index",
     "column_index", "row_span", "column_span", "table_page", "table_type",
@@ -395,16 +411,18 @@ def _(spark, sf_dir):
     "select u.* from u join attrs using (source, table_id)",
 )
 def _(spark, sf_dir):
-    return op.table_cells(_graph(spark, sf_dir, False)).select(*KEY, "cell_id", "cell_type", "rel_rank")
+    return op.table_cells(_graph(spark, sf_dir)).select(*KEY, "cell_id", "cell_type", "rel_rank")
 
 
 @query(
     "cell_words",
-    f"with {GRID}, {_CAPTIONS} select source, cell_id, cell_content as words from grid where cell_content <> '' "
-    "union all select source, cell_id, cell_content from caps",
+    f"with {GRID}, {_CAPTIONS}, {TITLES} select source, cell_id, cell_content as words from grid where cell_content <> '' "
+    "union all select source, cell_id, cell_content from caps "
+    "union all select source, layout_title_id, layout_title_text from titles where layout_title_text is not null",
 )
 def _(spark, sf_dir):
-    return op.cell_words(_graph(spark, sf_dir, False)).select(
+    """Of every block that can be a cell; layout titles have words too."""
+    return op.cell_words(_graph(spark, sf_dir)).select(
         "source", "cell_id", fn.join_words("cell_words").alias("words")
     )
 
@@ -425,10 +443,10 @@ _WORDS_SQL = (
 )
 
 
-@query("dedupe_blocks", f"with {GRID}, {_WORDS_SQL} select * from words")
+@query("dedupe_blocks", f"with {_ALL_BLOCKS} select source, block_id, text from blocks")
 def _(spark, sf_dir):
-    """Every word block has an earlier copy with another text; the later one wins."""
-    blocks = op.blocks_of_type(_graph(spark, sf_dir, False), "WORD").filter(F.col("Id").startswith("c"))
+    """Every block has an earlier copy with another text; the later one wins, also without text."""
+    blocks = _graph(spark, sf_dir)
     stale = blocks.withColumns({"Text": F.lit("stale"), "pos": F.col("pos") - F.lit(1 << 40)})
     return src.dedupe_blocks(stale.unionByName(blocks)).select(
         "source", F.col("Id").alias("block_id"), F.col("Text").alias("text")
@@ -451,7 +469,7 @@ def _(spark, sf_dir):
     f"with {GRID} select source, cell_id as block_id, row_index, column_index, coalesce(entity_type, 'none') as entity_type from grid",
 )
 def _(spark, sf_dir):
-    cells = op.blocks_of_type(_graph(spark, sf_dir, False), "CELL")
+    cells = op.blocks_of_type(_graph(spark, sf_dir), "CELL")
     return cells.select(
         "source",
         F.col("Id").alias("block_id"),
@@ -468,29 +486,49 @@ def _(spark, sf_dir):
     "select source, cell_id, cast(cast(substr(table_id, 2) as bigint) % 50 as int), row_index, column_index, null, null from merged",
 )
 def _(spark, sf_dir):
-    cells = op.cell_geometry(_graph(spark, sf_dir, False))
+    cells = op.cell_geometry(_graph(spark, sf_dir))
     return cells.select("source", "cell_id", "page", "row_index", "column_index", _rounded("cell_left"), _rounded("cell_top"))
 
 
+def _question_blocks(spark, sf_dir) -> DataFrame:
+    """Questions with their answers, from the parts, and ticked boxes with an outline, from the suppliers."""
+    parts, suppliers = fx.table(spark, sf_dir, "part"), fx.table(spark, sf_dir, "supplier")
+    key, supplier = F.col("p_partkey").cast("string"), F.col("s_suppkey")
+    corner = F.struct(F.lit(0.5).alias("X"), F.lit(1.0).alias("Y"))
+    outline = F.struct(F.lit(None).cast("struct<Width:double,Height:double,Left:double,Top:double>").alias("BoundingBox"), F.array(corner).alias("Polygon"))
+    asked = F.struct(F.col("p_name").alias("Text"), F.lit(None).cast("string").alias("Alias"))
+    ticked = F.when(supplier % 2 == 0, "SELECTED").otherwise("NOT_SELECTED")
+    place = [F.lit("parts").alias("source"), F.lit(0).cast("long").alias("pos")]
+    questions = parts.select(*place, *fx._block("QUERY", F.concat(F.lit("q"), key), F.lit(1), Query=asked))
+    answers = parts.select(*place, *fx._block("QUERY_RESULT", F.concat(F.lit("a"), key), F.lit(1), Text=F.col("p_type"), Confidence=F.lit(50.0)))
+    boxes = suppliers.select(*place, *fx._block("SELECTION_ELEMENT", F.concat(F.lit("s"), supplier.cast("string")), F.lit(1), SelectionStatus=ticked, Geometry=outline))
+    return questions.unionByName(answers).unionByName(boxes)
+
+
 @query(
     "block_report",
-    f"with {GRID}, {_WORDS_SQL} select source, cell_id as block_id, 'CELL' as block_type, '99.50%' as confidence, "
-    "coalesce(entity_type, '') as entity_types, '' as text, row_index, column_index, 1 as row_span, 1 as column_span from grid union all "
-    "select source, block_id, 'WORD', '98.25%', '', text, null, null, null, null from words",
-)
-def _(spark, sf_dir):
-    blocks = op.blocks_of_type(_graph(spark, sf_dir, False), "CELL", "WORD").filter(F.col("Id").startswith("c"))
-    return op.block_report(blocks).select(
-        "source", "block_id", "block_type", "confidence",
-        F.coalesce("entity_types", F.lit("")).alias("entity_types"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        "row_index", "column_index", "row_span", "column_span",
+    f"with {_ALL_BLOCKS} select source, block_id, block_type, coalesce(printf('%.2f%%', confidence), '') as confidence, coalesce(entity_type, '') as entity_types, "
+    "coalesce(text, '') as text, page, case when block_type = 'CELL' then row_index end as row_index, case when block_type = 'CELL' then column_index end as column_index, "
+    "case when block_type = 'CELL' then row_span end as row_span, case when block_type = 'CELL' then column_span end as column_span, "
+    "'' as polygon, '' as selection, '' as query, '' as answer from blocks union all "
+    "select 'parts', concat('q', cast(p_partkey as varchar)), 'QUERY', '', '', '', 1, null, null, null, null, '', '', concat('{\"Text\":\"', p_name, '\"}'), '' from part union all "
+    "select 'parts', concat('a', cast(p_partkey as varchar)), 'QUERY_RESULT', '50.00%', '', p_type, 1, null, null, null, null, '', '', '', p_type from part union all "
+    "select 'parts', concat('s', cast(s_suppkey as varchar)), 'SELECTION_ELEMENT', '', '', '', 1, null, null, null, null, '[{\"X\":0.5,\"Y\":1.0}]', "
+    "case when s_suppkey % 2 = 0 then 'Selected' else 'Not selected' end, '', '' from supplier",
+)
+def _(spark, sf_dir):
+    """All blocks of the graph, with questions, answers and ticked boxes."""
+    report = op.block_report(_graph(spark, sf_dir).unionByName(_question_blocks(spark, sf_dir)))
+    texts = ("confidence", "entity_types", "text", "polygon", "selection", "query", "answer")
+    return report.select(
+        "source", "block_id", "block_type", "page", "row_index", "column_index", "row_span", "column_span",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in texts],
     )
 
 
 def _json_documents(spark, sf_dir) -> DataFrame:
-    """One JSON array per table of the block graph, as result files hold them."""
-    graph = fx.block_graph(spark, sf_dir, layout=False)
+    """One JSON array per table and per layout title of the block graph, as result files hold them."""
+    graph = fx.block_graph(spark, sf_dir)
     block = F.struct(*[c for c in graph.columns if c not in ("source", "document", "pos")])
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("Id").alias("_id"), block.alias("block"))))
     return (
@@ -510,13 +548,12 @@ def _(spark, sf_dir):
 
 @query(
     "decode_responses",
-    f"with {GRID} select concat(source, '-', table_id) as source, cell_id as block_id, "
-    "cast(row_number() over (partition by source, table_id order by row_index, column_index) as bigint) as place, "
-    "cast(9 as int) as document_pages from grid",
+    f"with {_ALL_BLOCKS} select concat(source, '-', document) as source, block_id, "
+    "cast(row_number() over (partition by source, document order by pos) as bigint) as place, cast(9 as int) as document_pages from blocks",
 )
 def _(spark, sf_dir):
     """Documents cut into numbered responses of six blocks; order is restored."""
-    graph = op.blocks_of_type(fx.block_graph(spark, sf_dir, layout=False), "CELL")
+    graph = fx.block_graph(spark, sf_dir)
     block = F.struct(*[c for c in graph.columns if c not in ("source", "document", "pos")])
     place = F.row_number().over(Window.partitionBy("source", "document").orderBy("pos")) - 1
     pages = (
@@ -543,14 +580,14 @@ def _(spark, sf_dir):
     )
 
 
-@query("save_and_load_blocks", f"with {GRID}, {_WORDS_SQL} select * from words")
+@query("save_and_load_blocks", f"with {_ALL_BLOCKS} select source, block_id, block_type, coalesce(text, '') as text, page, row_index, column_span from blocks")
 def _(spark, sf_dir):
     path = scratch_path(spark, "blocks")
-    words = op.blocks_of_type(_graph(spark, sf_dir, False), "WORD").filter(F.col("Id").startswith("c"))
-    src.save_blocks(words, path)
+    src.save_blocks(_graph(spark, sf_dir), path)
     return src.load_blocks(spark, path).select(
-        "source", F.col("Id").alias("block_id"), F.col("Text").alias("text")
-    )
+        "source", F.col("Id").alias("block_id"), F.col("BlockType").alias("block_type"), F.coalesce("Text", F.lit("")).alias("text"),
+        F.col("Page").alias("page"), F.col("RowIndex").alias("row_index"), F.col("ColumnSpan").alias("column_span"),
+    )
 
 
 _ALL_WORDS_SQL = f"with {GRID}, {_WORDS_SQL}, {_CAPTIONS} select * from words union all select source, concat(cell_id, '_w0'), cell_content from caps"
@@ -618,6 +655,141 @@ def _(spark, sf_dir):
     return cells
 
 
+# -- files --------------------------------------------------------------------
+
+
+def _large_documents(spark, sf_dir, per_document: int) -> DataFrame:
+    """The block graph in documents of at most ``per_document`` tables, and of some titles, by ``source`` and ``name``."""
+    graph = fx.block_graph(spark, sf_dir)
+    number = F.try_to_number(F.substring("document", 2, 20), F.lit("99999999999999999999")).cast("bigint")
+    title = F.concat(F.lit("t"), F.pmod(F.xxhash64("document"), F.lit(97)).cast("string"))
+    return graph.withColumn("name", F.coalesce(F.floor(number / per_document).cast("string"), title)).drop("document")
+
+
+@query("read_blocks", _BLOCK_CELLS_SQL)
+def _(spark, sf_dir):
+    """Documents written as files of one JSON array each, read back by their path."""
+    folder = scratch_path(spark, "files")
+    graph = _large_documents(spark, sf_dir, 500)
+    block = F.struct(*[c for c in graph.columns if c not in ("source", "name", "pos")])
+    arrays = graph.groupBy("source", "name").agg(F.collect_list(block).alias("b")).select("source", "name", F.to_json("b").alias("value"))
+    arrays.write.partitionBy("source", "name").text(folder)
+    blocks = src.read_blocks(spark, f"{folder}/*/*", pattern=r"source=([^/]+)/")
+    cells = op.normalize_indices(op.cells_from_blocks(blocks))
+    return cells.select(*_BLOCK_CELL_COLUMNS, _rounded("cell_left"), _rounded("table_width"))
+
+
+@query(
+    "read_block_pages",
+    f"with {_ALL_BLOCKS} select source, block_id, block_type, coalesce(text, '') as text, cast(row_number() over (partition by source order by block_id) as bigint) as place from blocks",
+)
+def _(spark, sf_dir):
+    """Responses in files numbered by their path; twelve and more sort by number, not by name."""
+    folder = scratch_path(spark, "pages")
+    graph = fx.block_graph(spark, sf_dir).drop("document")
+    # Blocks in order of their ids, at most 4,000 in a response.
+    order = Window.partitionBy("source").orderBy("Id")
+    numbered = graph.withColumn("page_no", F.floor((F.row_number().over(order) - 1) / 4000) + 1)
+    block = F.struct(*[c for c in graph.columns if c not in ("source", "pos")])
+    pages = numbered.groupBy("source", "page_no").agg(F.array_sort(F.collect_list(F.struct("Id", block.alias("block")))).getField("block").alias("Blocks"))
+    pages.select(F.to_json(F.struct("Blocks")).alias("value"), "source", "page_no").write.partitionBy("source", "page_no").text(folder)
+    blocks = src.read_block_pages(spark, f"{folder}/*/*", pattern=r"source=([^/]+)/page_no=(\d+)/")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("pos")).cast("bigint")
+    return blocks.select(
+        "source", F.col("Id").alias("block_id"), F.col("BlockType").alias("block_type"), F.coalesce("Text", F.lit("")).alias("text"), place.alias("place")
+    )
+
+
+@query(
+    "read_tables",
+    f"with {_ALL_CELLS}, {_CONTENT_SQL}, {_ENTITIES_SQL}, n as (select source, table_id, "
+    + _COUNTS.format(rows="max(row_index)", columns="max(column_index)")
+    + " from cells group by source, table_id) select n.*, content, coalesce(entities, '') as entities from n "
+    "join cont using (source, table_id) left join ent using (source, table_id)",
+)
+def _(spark, sf_dir):
+    """Table summaries written as CSV, nested lists as text, and read back."""
+    path = scratch_path(spark, "tables")
+    src.write_csv(op.summarize_tables(fx.grid_with_merged(spark, sf_dir)).select(*src.TABLES.fieldNames()), path)
+    return src.read_tables(spark, path).select(
+        *KEY, *_COUNT_COLUMNS, *[_rounded(c) for c in _SIZES], _nested("content"), _entities()
+    )
+
+
+_TICKED = "case when cast(cell_content as int) % 2 = 0 then 'SELECTED' else 'NOT_SELECTED' end"
+
+
+@query(
+    "cell_words_with_selection",
+    f"with {GRID}, {_CAPTIONS}, {TITLES} select source, cell_id, case when column_index = 3 then {_TICKED} else cell_content end as words "
+    "from grid where cell_content <> '' union all select source, cell_id, cell_content from caps "
+    "union all select source, layout_title_id, layout_title_text from titles where layout_title_text is not null",
+)
+def _(spark, sf_dir):
+    """The numbers of the third column as boxes that are ticked if even; the status counts as a word."""
+    graph = _graph(spark, sf_dir)
+    box = (F.col("BlockType") == "WORD") & F.col("Id").rlike("^c[0-9]+_[0-9]+_3_w")
+    status = F.when(F.col("Text").try_cast("int") % 2 == 0, "SELECTED").otherwise("NOT_SELECTED")
+    ticked = graph.withColumns(
+        {
+            "SelectionStatus": F.when(box, status),
+            "Text": F.when(~box, F.col("Text")),
+            "BlockType": F.when(box, "SELECTION_ELEMENT").otherwise(F.col("BlockType")),
+        }
+    )
+    return op.cell_words(ticked, include_selection=True).select("source", "cell_id", fn.join_words("cell_words").alias("words"))
+
+
+@query(
+    "layout_titles_all_relations",
+    f"with {TITLES}, t as (select *, cast(substr(layout_title_id, 3) as bigint) as n from titles) "
+    "select source, layout_title_id, concat_ws(' ', layout_title_text, concat('more', cast(n as varchar)), case when n % 2 = 0 then concat('word', cast(n as varchar)) end) as every_text, "
+    "concat_ws(' ', layout_title_text, concat('more', cast(n as varchar))) as line_text, layout_title_text as first_text from t",
+)
+def _(spark, sf_dir):
+    """Titles with a second relation, to a line and, for every second one, a word."""
+    titles = fx.titles(spark, sf_dir).withColumn("n", F.substring("layout_title_id", 3, 20))
+    more, word = F.concat(F.lit("more"), "n"), F.concat(F.lit("word"), "n")
+    even = F.col("n").cast("bigint") % 2 == 0
+    first = fx._relation("CHILD", F.array(F.concat(F.lit("line_"), "layout_title_id")))
+    other = fx._relation("OTHER", F.array(F.concat(F.lit("m"), "n"), F.concat(F.lit("v"), "n")))
+    place = ["source", F.lit(0).cast("long").alias("pos")]
+    owner = titles.select(*place, *fx._block("LAYOUT_TITLE", F.col("layout_title_id"), F.lit(1), Relationships=F.array(first, other)))
+    lines = titles.select(*place, *fx._block("LINE", F.concat(F.lit("line_"), "layout_title_id"), F.lit(1), Text=F.col("layout_title_text")))
+    lines = lines.unionByName(titles.select(*place, *fx._block("LINE", F.concat(F.lit("m"), "n"), F.lit(1), Text=more)))
+    blocks = owner.unionByName(lines).unionByName(titles.filter(even).select(*place, *fx._block("WORD", F.concat(F.lit("v"), "n"), F.lit(1), Text=word)))
+    key = ["source", "layout_title_id"]
+    parts = {"every_text": {"all_relations": True}, "line_text": {"all_relations": True, "line_only": True}, "first_text": {}}
+    out = None
+    for name, options in parts.items():
+        found = op.layout_titles(blocks, **options).select(*key, F.col("layout_title_text").alias(name))
+        out = found if out is None else out.join(found, key)
+    return out
+
+
+@query(
+    "schema_diff",
+    "with a as (select column_name from duckdb_columns() where table_name = 'orders'), b as (select column_name from duckdb_columns() where table_name = 'lineitem') "
+    "select column_name, 'left_only' as side from a where column_name not in (select column_name from b) union "
+    "select column_name, 'right_only' from b where column_name not in (select column_name from a)",
+)
+def _(spark, sf_dir):
+    return op.schema_diff(fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "lineitem"))
+
+
+_SIDES_WITH_MERGED = (
+    _ALL_SIDES_SQL.replace(f"with {GRID},", f"with {GRID}, {MERGED},", 1)
+    + " union all select source, table_id, cell_id, null, null, null, null from merged"
+)
+
+
+@query("neighbour_words_of_all_cells", _SIDES_WITH_MERGED)
+def _(spark, sf_dir):
+    """Merged cells get no lists, and their texts are in none."""
+    cells = fx.grid_with_merged(spark, sf_dir).select(*KEY, "cell_id", "cell_type", "cell_words", "row_index", "column_index", "rel_rank", "pos")
+    return op.neighbour_words(cells).select(*KEY, "cell_id", *[_bar(f"words_{s}") for s in _SIDES])
+
+
 # -- shape --------------------------------------------------------------------
 
 
@@ -832,6 +1004,49 @@ def _(spark, sf_dir):
     return op.weights_long(vectors, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
+_SOME_TEXTS = "given as (select doc_id, case when doc_id % 5 = 0 then null else text end as text from documents)"
+
+
+@query(
+    "transform_tfidf_missing_texts",
+    f"with {_SOME_TEXTS}, {_TOKS.replace('from documents', 'from given')}, {_STATS}, {_VOCABULARY.format(k=50)}, {_WEIGHTS} "
+    "select given.doc_id, raw.term, round(x / size, 6) as weight from given left join raw using (doc_id) left join norm using (doc_id)",
+)
+def _(spark, sf_dir):
+    """Every fifth text is missing: it counts as a document and has no weights."""
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("text"))
+    vocabulary = op.fit_tfidf(documents, "text", 50)
+    vectors = op.transform_tfidf(documents, vocabulary, "text")
+    weights = op.weights_long(vectors, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
+    return documents.select("doc_id").join(weights, "doc_id", "left")
+
+
+@query(
+    "label_encode_many",
+    "select o_orderkey, dense_rank() over (order by cast(o_orderkey as varchar)) - 1 as key_code, cast(dense_rank() over (order by o_orderpriority) - 1 as int) as priority_code from orders"
+)
+def _(spark, sf_dir):
+    """More values than are looked up row by row, beside a column with few."""
+    orders = fx.table(spark, sf_dir, "orders")
+    codes = op.label_codes(orders, "o_orderkey").select(F.col("value").cast("long").alias("o_orderkey"), F.col("code").alias("key_code"))
+    return op.label_encode(orders, "o_orderpriority", "priority_code").join(codes, "o_orderkey").select("o_orderkey", "key_code", "priority_code")
+
+
+@query(
+    "pca_variances",
+    "with x as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as v from embeddings), "
+    "c as (select vec_id, i, v - avg(v) over (partition by i) as v from x) "
+    "select count(*) as vectors, round(sum(s), 4) as total_length from (select vec_id, sum(v * v) as s from c group by vec_id)",
+)
+def _(spark, sf_dir):
+    """All components of the centred vectors: their variances add up to that of the vectors."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    centred = op.fit_scaler(vectors, "v", "centred", with_std=False).transform(vectors)
+    reduced = op.fit_pca(centred, "centred", "pca", variance=1.0).transform(centred)
+    length = F.aggregate(vector_to_array("pca"), F.lit(0.0), lambda t, x: t + x * x)
+    return reduced.agg(F.count(F.lit(1)).alias("vectors"), F.round(F.sum(length), 4).alias("total_length"))
+
+
 @query(
     "flatten_content",
     f"with {_ALL_CELLS}, r as (select source, table_id, row_index, string_agg(cell_content, ' ' order by column_index, rel_rank, pos) "
@@ -1220,13 +1435,13 @@ def _(spark, sf_dir):
     )
 
 
-@query(
-    "first_notifications",
-    "select distinct concat('job', cast(user_id as varchar)) as job_id from events where event_id % 7 <> 0",
-)
+_FIRST_SQL = "select distinct case when event_id % 7 = 0 then null else concat('job', cast(user_id as varchar)) end as job_id from events"
+
+
+@query("first_notifications", _FIRST_SQL)
 def _(spark, sf_dir):
-    """Notifications taken in as a stream; every job is reported once."""
-    return _first_notifications(spark, fx.table(spark, sf_dir, "events").filter("event_id % 7 <> 0"))
+    """Notifications taken in as a stream, every seventh unreadable; every job is reported once."""
+    return _first_notifications(spark, fx.table(spark, sf_dir, "events"))
 
 
 def _first_notifications(spark, events: DataFrame) -> DataFrame:
@@ -1244,10 +1459,7 @@ def _first_notifications(spark, events: DataFrame) -> DataFrame:
     return spark.read.schema("job_id string").parquet(sink)
 
 
-@query(
-    "first_notifications_of_all",
-    "select distinct case when event_id % 7 = 0 then null else concat('job', cast(user_id as varchar)) end as job_id from events",
-)
+@query("first_notifications_of_all", _FIRST_SQL)
 def _(spark, sf_dir):
     """All events on a stream, every seventh unreadable; the unreadable ones have one null id."""
     return _first_notifications(spark, fx.table(spark, sf_dir, "events"))
@@ -1257,8 +1469,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Documents written as files, taken in as a stream, cells read from the sink."""
     folder, sink, progress = (scratch_path(spark, n) for n in ("incoming", "cells", "progress"))
-    graph = fx.block_graph(spark, sf_dir, layout=False)
-    number = F.floor(F.substring("document", 2, 20).cast("bigint") / 500)
+    graph = fx.block_graph(spark, sf_dir)
+    number = F.coalesce(F.floor(F.try_to_number(F.substring("document", 2, 20), F.lit("99999999999999999999")).cast("bigint") / 500).cast("string"), F.concat(F.lit("t"), F.pmod(F.xxhash64("document"), F.lit(97)).cast("string")))
     block = F.struct(*[c for c in graph.columns if c not in ("source", "document", "pos")])
     # At most 500 tables a document, so a document stays a bounded group.
     (
@@ -1458,6 +1670,59 @@ def _(spark, sf_dir):
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
+@query(
+    "reload_models",
+    f"with {_ALL_CELLS} select 'tables' as model, count(*) as scored, cast(0 as bigint) as differing from (select distinct source, table_id from cells) "
+    "union all select 'cells', count(*), 0 from cells where cell_type = 'CHILD'",
+)
+def _(spark, sf_dir):
+    """Scores before a model is saved and after it is loaded again: none differ."""
+    tables = cut_lineage(_titled_tables(spark, sf_dir), "tables")
+    cells = cut_lineage(_roles(_cells_with_size(spark, sf_dir)), "cells")
+    kinds = (
+        ("tables", tables, op.train_table_classifier(tables, trees=10, depth=8, fit_rows=FIT_ROWS), op.predict_table_class, ["source", "table_id"]),
+        ("cells", cells, op.train_cell_classifier(cells, trees=10, depth=8, fit_rows=FIT_ROWS), op.predict_cell_role, ["source", "cell_id"]),
+    )
+    out = None
+    for name, rows, model, predict, key in kinds:
+        path = scratch_path(spark, "model")
+        op.save_model(model, path)
+        before = predict(rows, model, output="before").select(*key, "before")
+        after = predict(rows, op.load_model(path), output="after").select(*key, "after")
+        differing = F.count(F.when(~F.col("before").eqNullSafe(F.col("after")), 1)).alias("differing")
+        row = before.join(after, key).agg(F.count(F.lit(1)).alias("scored"), differing).select(F.lit(name).alias("model"), "scored", "differing")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _cells_with_size(spark, sf_dir) -> DataFrame:
+    """Cells with the class and size of their table."""
+    return op.attach_table_class(fx.grid_cells(spark, sf_dir), _classed_tables(fx.grid_cells(spark, sf_dir)))
+
+
+@query(
+    "score_documents",
+    f"with {GRID}, {_CLASSES}, b as (select source, table_id, table_page, {_BOX_SQL.format(l='l', t='t', w='w', h='h')} from k where table_page between 1 and 40) "
+    "select b.*, n.cells from b join (select source, table_id, count(*) as cells from grid group by source, table_id) n using (source, table_id)",
+)
+def _(spark, sf_dir):
+    """From blocks to boxes: documents prepared, tables and cells scored, the boxes of both drawn up; one row for each table with a box."""
+    from .documents import prepare_documents, score_cells, score_tables
+
+    documents = prepare_documents(_graph(spark, sf_dir))
+    rows = F.col("row_count")
+    tables = documents.tables.withColumn("table_class", F.when(rows > 6, "BIGRID_STACKED").when(rows > 3, "BIGRID").otherwise("KVP"))
+    table_model = op.train_table_classifier(tables, trees=10, depth=8, fit_rows=FIT_ROWS)
+    tagged = _roles(op.attach_table_class(documents.cells.filter("cell_type = 'CHILD'"), tables))
+    cell_model = op.train_cell_classifier(tagged, trees=10, depth=8, fit_rows=FIT_ROWS)
+    sizes = fx.page_sizes(documents.cells.select("source", "table_page"))
+    boxes = op.annotate_tables(score_tables(documents, table_model), sizes)
+    scored = score_cells(documents, table_model, cell_model).filter("cell_type = 'CHILD' and cell_role is not null")
+    counts = scored.groupBy(*KEY).agg(F.count(F.lit(1)).alias("cells"))
+    places = ["abs_left", "abs_top", "abs_right", "abs_bottom"]
+    return boxes.join(counts, KEY).select(*KEY, "table_page", *[_rounded(c) for c in places], "cells")
+
+
 @query("cluster_tables")
 def _(spark, sf_dir):
     clustered, _ = op.cluster_tables(_titled_tables(spark, sf_dir), stop_words=_STOP)
@@ -1470,6 +1735,48 @@ def _(spark, sf_dir):
     return op.silhouette_scores(vectors)
 
 
+def _silhouette_sql(cluster: str, name: str) -> str:
+    """The silhouette of the clusters that an expression gives, from per-cluster sums."""
+    return (
+        f"select '{name}' as clusters, silhouette from ("
+        f"with e as (select vec_id, {cluster} as label, embedding from embeddings), "
+        "x as (select vec_id, label, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as i from e where label is not null), "
+        "s as (select label, i, sum(v) as total from x group by label, i), q as (select label, sum(v * v) as squares from x group by label), "
+        "n as (select label, count(*) as n from e where label is not null group by label), "
+        "p as (select vec_id, label, sum(v * v) as own from x group by vec_id, label), "
+        "d as (select x.vec_id, s.label as other, sum(x.v * s.total) as dot from x join s using (i) group by x.vec_id, s.label), "
+        "m as (select p.vec_id, p.label, d.other, n.n, p.own + q.squares / n.n - 2 * d.dot / n.n as far from p join d using (vec_id) "
+        "join q on q.label = d.other join n on n.label = d.other), "
+        "ab as (select vec_id, max(case when label = other then n end) as n, max(case when label = other and n > 1 then far * n / (n - 1) end) as a, "
+        "min(case when label <> other then far end) as b from m group by vec_id) "
+        "select round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from ab)"
+    )
+
+
+@query(
+    "silhouettes_of_assignments",
+    " union all ".join(_silhouette_sql(c, n) for n, c in (("label", "label"), ("fifths", "vec_id % 5"), ("some", "case when vec_id % 3 > 0 then vec_id % 7 end"))),
+)
+def _(spark, sf_dir):
+    """Several given assignments of the same vectors, scored in one scan."""
+    number = F.col("vec_id").cast("int")
+    vectors = fx.table(spark, sf_dir, "embeddings").select(
+        array_to_vector("embedding").alias("features"),
+        F.col("label"),
+        (number % 5).alias("fifths"),
+        F.when(number % 3 > 0, number % 7).alias("some"),
+    )
+    return op.silhouettes(vectors, ["label", "fifths", "some"]).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("silhouette_scores_of_tables")
+def _(spark, sf_dir):
+    """The choice of the number of clusters on the features that tables are clustered by."""
+    tables = cut_lineage(_titled_tables(spark, sf_dir), "tables")
+    features = op.cluster_features(tables, stop_words=_STOP).transform(tables).select("features")
+    return op.silhouette_scores(features)
+
+
 @query(
     "silhouette_of_labels",
     "with x as (select vec_id, label, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as i from embeddings "

@@ -188,6 +188,12 @@ def test_block_report(spark, data):
     assert page.confidence is None and page.box_width == 1.0
 
 
+def test_report_without_confidence(spark):
+    block = _block("w", "WORD", "text") | {"Confidence": None}
+    rows = src.decode_documents(spark.createDataFrame([("s", json.dumps([{k: v for k, v in block.items() if v is not None}]))], "source string, value string"))
+    assert op.block_report(rows).first().confidence is None
+
+
 def test_same_document_under_two_names_stays_apart(spark, data, tmp_path):
     for name in ("x", "y"):
         (tmp_path / f"{name}.json").write_text(open(data("overlap")).read())

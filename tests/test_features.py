@@ -171,3 +171,29 @@ def test_fill_and_feature_columns(spark):
 def test_best_k_prefers_the_lower_k_on_ties(spark):
     scores = spark.createDataFrame([(2, 0.5), (3, 0.7), (4, 0.7), (5, None)], "k int, silhouette double")
     assert op.best_k(scores).first().best_k == 3
+
+
+def test_codes_of_many_values(spark):
+    """Distributed numbering equals the rank of the text, with nulls behind and a value on a third of the rows."""
+    from blockframe.operators import encode
+
+    names = F.when(F.col("id") % 3 == 0, "often").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("v"), (F.col("id") * 7919 % 6007).cast("string")))
+    df = spark.range(6000).select("id", names.alias("kind"))
+    values = sorted({r.kind for r in df.collect() if r.kind is not None})
+    codes = op.label_codes(df, "kind").collect()
+    assert sorted((r.code, r.value) for r in codes) == list(enumerate(values))
+    few = {r.id: r.kind_encoded for r in op.label_encode(df, "kind").collect()}
+    most, encode.MOST_CATEGORIES = encode.MOST_CATEGORIES, 100
+    try:
+        many = {r.id: r.kind_encoded for r in op.label_encode(df, "kind").collect()}
+    finally:
+        encode.MOST_CATEGORIES = most
+    assert many == few and set(few.values()) == set(range(len(values) + 1))
+    assert op.label_codes(df.limit(0), "kind").count() == 0
+
+
+def test_padding_of_large_grids_is_refused(spark):
+    df = spark.range(1).select(F.expr("transform(sequence(1, 60000), i -> array(1, 2))").alias("grid"))
+    with pytest.raises(ValueError):
+        op.padded_grid(df, "grid", "padded")
+    assert len(op.padded_grid(df, "grid", "padded", extent=(60_000, 1)).first().padded) == 60_000

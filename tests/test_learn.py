@@ -217,3 +217,27 @@ def test_role_svm_from_bags_learns_and_reloads(spark, sf_dir, text):
     assert again.select("cell_id", "guess").exceptAll(scored.select("cell_id", "guess")).isEmpty()
     majority = cells.groupBy("cell_role").count().agg(F.max("count") / F.sum("count")).first()[0]
     assert accuracy(scored, "cell_role", "guess") > majority + (0.15 if text == "all" else 0.05)
+
+
+def test_scores_together_equal_scores_one_by_one(spark, tables):
+    features = op.cluster_features(tables, k_terms=20).transform(tables).select("features").persist()
+    assigned = features
+    for k in range(2, 15):
+        assigned = op.kmeans(features, k, output=f"c{k}").transform(assigned)
+    assigned = assigned.persist()
+    together = {r.clusters: r.silhouette for r in op.silhouettes(assigned, [f"c{k}" for k in range(2, 15)]).collect()}
+    assert len(together) == 13
+    for k in range(2, 15):
+        assert together[f"c{k}"] == pytest.approx(op.silhouette(assigned.withColumnRenamed(f"c{k}", "cluster")), abs=1e-9)
+
+
+def test_silhouettes_of_odd_assignments(spark):
+    """A cluster of one row, rows without a number, equal rows, one cluster only, no row."""
+    points = [(0.0, 0.0, 1, 5, None), (0.0, 0.0, 1, 5, 1), (10.0, 0.0, 2, 5, 2), (10.0, 1.0, 2, 5, 2), (50.0, 50.0, 3, 5, None)]
+    df = spark.createDataFrame(points, "x double, y double, a int, b int, c int").withColumn("features", array_to_vector(F.array("x", "y")))
+    got = {r.clusters: r.silhouette for r in op.silhouettes(df, ["a", "b", "c"]).collect()}
+    assert got["b"] is None
+    for name in ("a", "c"):
+        some = df.filter(F.col(name).isNotNull()).withColumn("cluster", F.col(name))
+        assert got[name] == pytest.approx(op.silhouette(some))
+    assert [r.silhouette for r in op.silhouettes(df.limit(0), ["a"]).collect()] == [None]
