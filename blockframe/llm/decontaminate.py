@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import text_or_empty
+from blockframe.llm.common import cut_lineage, text_or_empty
 
 #: Words of an item below which it matches nothing, and below which it is looked up by its pieces instead of walks.
 MIN_WORDS, WALKED = 1, 15
@@ -23,8 +23,8 @@ CLASSES, TRIALS = (15, 20, 30, 60), 100
 REACH, SAMPLED = 8, 4
 #: Words between the places of an item from which its windows are embedded.
 STRIDE = 4
-#: Items sent to the tasks at a time.
-ITEMS = 20_000
+#: Items and bytes of their texts sent to the tasks at a time.
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
 #: Cells of the table of items by words; more are looked up by search.
 TABLE = 1 << 25
 MARKS = b".,;:!?()[]{}\"'"
@@ -290,13 +290,30 @@ class Finder:
         return end - len(back)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, items: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``items``; each block's size is checked before it is gathered."""
-    asked = benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].alias("text"))
-    blocks = -(-asked.count() // items)
+def _blocks(benchmark: DataFrame, text_col: str) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """Whether there are several blocks, and the distinct texts ``(key, text)`` of each, by their MD5.
+
+    Equal texts are one item.  A block has ``ITEMS`` texts and ``ITEM_BYTES``,
+    twice as much at most or a single text: their numbers are counted before
+    anything is gathered, and the blocks doubled until all are.
+    """
+    texts = cut_lineage(_keyed(benchmark, text_col).select("key", "text").filter("text <> ''").dropDuplicates(["key"]), "items")
+    size = F.octet_length("text").cast("long")
+    whole = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-whole.n // ITEMS), -(-whole.bytes // ITEM_BYTES), 1)
+    while True:
+        dealt = texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        counts = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+        if not counts.filter((F.col("n") > 1) & ((F.col("n") > 2 * ITEMS) | (F.col("bytes") > 2 * ITEM_BYTES))).head(1):
+            break
+        blocks *= 2
     for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else asked
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (str(x[0]), x[1] or ""))
+        yield blocks > 1, sorted((r.key, r.text) for r in dealt.filter(F.col("block") == b).collect())
+
+
+def _keyed(benchmark: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    text = text_or_empty(benchmark[text_col])
+    return benchmark.select(*columns, F.md5(text).alias("key"), text.alias("text"))
 
 
 def benchmark_passages(
@@ -311,7 +328,9 @@ def benchmark_passages(
     """Benchmark items that documents hold, with at most ``1 - similarity`` of their words edited.
 
     Words are compared in lower case and without punctuation marks.  Items go
-    to the tasks in blocks of ``ITEMS``; documents are not shuffled.  Null and
+    to the tasks in blocks, equal texts once; documents are not shuffled, but
+    read once for each block.  Of several blocks only one is with the tasks at
+    a time, and its results are stored.  Null and
     empty texts hold nothing; items without words match nothing, and those of
     fewer than five allow no edit; repeated rows give repeated rows.
 
@@ -320,26 +339,27 @@ def benchmark_passages(
     edits.
     """
     context = docs.sparkSession.sparkContext
-    item_type = benchmark.schema[item_col].dataType
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    schema = "doc_id string, item_id string, first_word long, end_word long, edits int, item_words int"
+    schema = "doc_id string, key string, first_word long, end_word long, edits int, item_words int"
     out = None
-    for block in _blocks(benchmark, item_col, "text", ITEMS):
-        finder = context.broadcast(Finder([(None if i is None else str(i), t) for i, t in block], similarity, recall))
+    for several, block in _blocks(benchmark, "text"):
+        finder = context.broadcast(Finder(block, similarity, recall))
 
         def search(batches: Iterator[pd.DataFrame], finder=finder) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for a in range(0, len(batch), 500):
                     part = batch.iloc[a : a + 500]
                     hits = [(d, *h) for d, found in zip(part["doc_id"], finder.value.find(part["text"].tolist())) for h in found]
-                    yield pd.DataFrame(hits, columns=["doc_id", "item_id", "first_word", "end_word", "edits", "item_words"])
+                    yield pd.DataFrame(hits, columns=["doc_id", "key", "first_word", "end_word", "edits", "item_words"])
 
         found = rows.mapInPandas(search, schema)
+        if several:
+            found = cut_lineage(found, "passages")
+            finder.destroy()
         out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumn(
-        "item_id", F.col("item_id").cast(item_type)
+    named = _keyed(benchmark, "text", benchmark[item_col].alias("item_id")).select("item_id", F.col("key").alias("_key"))
+    return out.join(named, F.col("key") == F.col("_key")).select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType), "item_id", "first_word", "end_word", "edits", "item_words"
     )
 
 
@@ -355,9 +375,17 @@ def _holds(finder: Broadcast, text: Column) -> Column:
     return holds(text)
 
 
-def holds_benchmark(text: Column, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> Column:
-    """Whether a text holds any benchmark item; see ``benchmark_passages``."""
-    context, out = benchmark.sparkSession.sparkContext, F.lit(False)
-    for block in _blocks(benchmark, "item_id", "text", ITEMS):
-        out = out | _holds(context.broadcast(Finder(block, similarity, recall)), text)
-    return out
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no benchmark item; see ``benchmark_passages``.
+
+    Of several blocks of items each passes over what the ones before left, a
+    stored table, and only one is with the tasks at a time.
+    """
+    context = benchmark.sparkSession.sparkContext
+    for several, block in _blocks(benchmark, "text"):
+        finder = context.broadcast(Finder(block, similarity, recall))
+        docs = docs.filter(~_holds(finder, docs[text_col]))
+        if several:
+            docs = cut_lineage(docs, "clean")
+            finder.destroy()
+    return docs

@@ -157,8 +157,24 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     many = {tuple(r)[:2] for r in dc.benchmark_passages(frame, bench).collect()}
     whole = {x[:2] for x in plain_hits(docs, items) if x[2] == 0}
     assert whole <= once and whole <= many and len(once ^ many) <= 0.05 * len(once)
-    kept = frame.filter(~dc.holds_benchmark(F.col("text"), bench)).count()
-    assert kept == len(docs) - len({d for d, _ in many})
+    kept = dc.without_benchmark(frame, bench)
+    assert kept.columns == frame.columns and kept.count() == len(docs) - len({d for d, _ in many})
+
+
+def test_equal_items_are_looked_up_once(spark, monkeypatch):
+    """Hundreds of rows with one text are one item, whatever the block size; each of them is found."""
+    monkeypatch.setattr(dc, "ITEMS", 4)
+    words = [f"w{i} x{i} y{i} z{i} u{i}" for i in range(20)]
+    items = [(i, words[0]) for i in range(300)] + [(300 + i, w) for i, w in enumerate(words)] + [(None, words[1]), (7, None), (8, "")]
+    docs = [(1, f"a {words[0]} b {words[1]}"), (2, "nothing here"), (None, words[2])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, key string")
+    blocks = list(dc._blocks(bench, "text"))
+    assert sum(len(b) for _, b in blocks) == 20 and max(len(b) for _, b in blocks) <= 8 and all(s for s, _ in blocks)
+    got = Counter((r.doc_id, r.item_id) for r in dc.benchmark_passages(frame, bench).collect())
+    assert got == Counter([(1, i) for i in range(300)] + [(1, 300), (1, 301), (1, None), (None, 302)])
+    kept = dc.without_benchmark(frame, bench)
+    assert [(r.doc_id, r.key) for r in kept.collect()] == [(2, "k")] and kept.columns == frame.columns
 
 
 # -- pipeline -------------------------------------------------------------
