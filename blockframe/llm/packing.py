@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from blockframe.llm.common import cut_lineage, number_within, text_or_empty
 
-#: Groups of equal cardinality that large lengths are rounded up within.
-GROUPS = 4096
+#: Groups of equal cardinality that large lengths are rounded up within: few enough that most are rounded.
+GROUPS = 512
 #: Lengths of at most this part of a sequence are small.
 SMALL_PART = 8
 
