@@ -106,10 +106,11 @@ def remove_repeats(
     """Remove every word covered by a window of ``window`` words that starts earlier elsewhere.
 
     Earlier is a smaller id, or the same document and an earlier start; null
-    ids come first.  Windows are judged on the input.  Rows that agree in id
-    are ordered by text.
+    ids come first.  Windows are judged on the input.  Rows that agree in id,
+    or have none, are ordered by the chunk that a hash of id and text deals
+    them to, and within a chunk by text.
 
-    Documents are dealt by id into chunks.  Every chunk counts its windows in
+    Documents are dealt by id and text into chunks.  Every chunk counts its windows in
     the cells of a count-min sketch with ``depth`` rows; a chunk's sketch
     travels as the sorted cells it touched, cut into blocks.  The sketches are
     merged block by block, and each chunk is told which of its cells hold two
@@ -131,7 +132,7 @@ def remove_repeats(
     width = 1 << max(16, (size - 1).bit_length())  # about six cells for a window
     block_width = -(-width // blocks)
     bucket_width = -(-(1 << 64) // blocks)
-    key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))
     # Ids go to Python as strings, since pandas would make null and whole numbers floats.
     dealt = rows.select(key.alias("chunk"), F.col("doc_id").cast("string"), "text").repartition(max(parts, -(-size // (64 << 20))), "chunk")
 
