@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from blockframe.llm.common import text_or_empty
 
 #: Code points encoded at a time, and the length beyond which a text is encoded in chunks.
 SLAB, CHUNK = 1 << 20, 1 << 18
+#: Code points of the pieces whose ids a task remembers; then it begins anew.
+REMEMBERED = 1 << 22
 #: A chunk may end before a blank or line end that follows a visible character: no match of the pattern goes across.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \n]")
 
@@ -46,12 +50,14 @@ class ByteCoder:
 
     The ``tokenizers`` library gets the ranks as merges over the characters
     that stand for bytes.  A piece that is a token itself is taken whole, as
-    the rank form of the method does.
+    the rank form of the method does.  Texts are cut into the pattern's matches,
+    which are encoded separately, and most of which recur, so each is encoded
+    once and remembered within the task, up to ``REMEMBERED`` code points.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -60,8 +66,9 @@ class ByteCoder:
         vocabulary = {spell(token): rank for token, rank in ranks.items()}
         merges = [(spell(a), spell(b)) for a, b in merges_of(ranks)]
         self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        split = pre_tokenizers.Split(Regex(PATTERN), behavior="isolated")
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces = regex.compile(PATTERN).findall
+        self._forget()
         # Decoding goes through the reversed byte table.
         byte_of = {c: b for b, c in shown.items()}
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
@@ -69,20 +76,43 @@ class ByteCoder:
             self.tokens[rank] = bytes(map(byte_of.__getitem__, spelled))
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.flat, self.first, self.count = array("i"), array("q"), array("q")
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Encode the pieces that are not known yet, each once."""
+        fresh = set().union(*lists).difference(self.known)
+        if self.held > REMEMBERED:
+            self._forget()
+            fresh = set().union(*lists)
+        line = list(fresh)
+        for piece, encoding in zip(line, self.tokenizer.encode_batch_fast(line, add_special_tokens=False)):
+            ids = encoding.ids
+            self.known[piece] = len(self.first)
+            self.first.append(len(self.flat))
+            self.count.append(len(ids))
+            self.flat.extend(ids)
+            self.held += len(piece)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [part for text in texts for part in chunks(text)]
-        counts = [sum(1 for _ in chunks(text)) if len(text) > CHUNK else 1 for text in texts]
-        found, line = [], []
-        size = 0
-        for part in [*parts, None]:
-            if part is None or size + len(part) > SLAB and line:
-                found += [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
-                line, size = [], 0
-            if part is not None:
-                line.append(part)
-                size += len(part)
-        ends = np.cumsum(counts)
-        return [found[e - n] if n == 1 else np.concatenate(found[e - n : e]) for e, n in zip(ends, counts)]
+        """Ids of each text: the pattern's matches are encoded separately, equal ones once, and laid in a row."""
+        parts = [list(chunks(text)) for text in texts]
+        flat_parts = [part for chunked in parts for part in chunked]
+        found: list[np.ndarray] = []
+        for a, b in _slabs([len(part) for part in flat_parts], SLAB):
+            lists = [self.pieces(part) for part in flat_parts[a:b]]
+            self._learn(lists)
+            flat, first, count = (np.array(x, dtype=np.int64) for x in (self.flat, self.first, self.count))
+            for line in lists:
+                numbers = np.fromiter(map(self.known.__getitem__, line), dtype=np.int64, count=len(line))
+                lengths = count[numbers]
+                ends = np.cumsum(lengths)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[numbers] - ends + lengths, lengths)
+                found.append(flat[at].astype(np.int32))
+        bounds = np.cumsum([0, *map(len, parts)])
+        return [found[a] if b - a == 1 else np.concatenate(found[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def places(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First code point of each token and the one behind its last; a character split between tokens belongs to each."""
@@ -171,10 +201,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids")
         own = coder(ranks_path)
         for batch in batches:
             ids = batch.column(ids_col)
-            sizes = [n or 0 for n in pa.compute.list_value_length(ids).to_pylist()]
-            for a, b in _slabs(sizes, SLAB):
+            numbers, ends, missing = np.asarray(ids.values), np.asarray(ids.offsets), np.asarray(ids.is_null())
+            for a, b in _slabs(np.diff(ends).tolist(), SLAB):
                 part = batch.slice(a, b - a)
-                out = [None if i is None else own.decode(i) for i in ids.slice(a, b - a).to_pylist()]
+                out = [None if missing[i] else own.decode(numbers[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return table.mapInArrow(decode, schema)

@@ -58,6 +58,7 @@ def test_encoding_equals_the_rank_library(spark, plain):
 def test_chunks_do_not_change_the_ids(plain, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHUNK", 7)
     monkeypatch.setattr(byte_bpe, "SLAB", 50)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 300)
     own = byte_bpe.ByteCoder(RANKS)
     texts = [t or "" for _, t in odd_documents() if len(t or "") < 10_000]
     assert [i.tolist() for i in own.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
