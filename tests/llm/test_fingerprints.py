@@ -7,23 +7,29 @@ import random
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from blockframe.llm import fingerprints as fp
 
-SCHEMA = "doc_id long, text string, block int, key string, digests string, after int, own int"
+SCHEMA = "doc_id long, text string, block int, key string, base string, h int, digests string, after int, own int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, 1, "k", "d", 2, 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, 1, "k", "b", 4, "d", 2, 3) for i, t in rows], SCHEMA)
 
 
 def units(text):
     return set(re.findall(fp.PARAGRAPH.replace("++", "+").replace("}+", "}").replace("*+", "*"), text))
 
 
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def wanted(docs):
-    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, (d[1] or "").encode()))
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, signed_hash(d[1] or ""), (d[1] or "").encode()))
     out = []
     for n, (i, t) in enumerate(order):
         t, after = t or "", order[(n + 1) % len(order)][1] or ""
@@ -84,7 +90,25 @@ def test_peeling_recovers_the_digests_that_differ(spark):
     df = df.select("dx", "dy", F.expr(fp.items("dx")).alias("ix"), F.expr(fp.items("dy")).alias("iy"))
     for r in df.select("dx", "dy", fp.recovered("ix", "iy").alias("found")).collect():
         assert sorted(r.found) == sorted(set(r.dx) ^ set(r.dy))
-    # Too many for one segment: nothing is made up.
-    many = spark.createDataFrame([("".join(f"{i:060d}." for i in range(90)),)], "x string").select(fp.digests(F.col("x")).alias("dx"))
-    many = many.select(F.expr(fp.items("dx")).alias("ix"), F.expr(fp.items("array_remove(dx, 0L)")).alias("iy"))
-    assert many.select(fp.recovered("ix", "filter(iy, e -> false)").alias("found")).first().found is None
+    # More than the first sketch holds: larger ones follow.
+    many = spark.createDataFrame([("".join(f"{i:060d}." for i in range(n)), "".join(f"{i:060d}." for i in range(5, n + m))) for n, m in ((90, 4), (700, 20), (4, 300))], "x string, y string")
+    many = many.select(fp.digests(F.col("x")).alias("dx"), fp.digests(F.col("y")).alias("dy"))
+    many = many.select("dx", "dy", F.expr(fp.items("dx")).alias("ix"), F.expr(fp.items("dy")).alias("iy"))
+    for r in many.select("dx", "dy", fp.recovered("ix", "iy").alias("found")).collect():
+        assert sorted(r.found) == sorted(set(r.dx) ^ set(r.dy))
+
+
+def test_ids_that_many_rows_share(spark):
+    """A third of the rows without an id, a third with one id; several blocks each."""
+    rng = random.Random(9)
+    text = lambda: " ".join(str(rng.randint(0, 99)) for _ in range(rng.randint(0, 12))) + "."
+    docs = [(None, text()) for _ in range(60)] + [(7, text()) for _ in range(60)] + [(i, text()) for i in range(60)] + [(7, "same. " * 30)] * 20
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        frame_ = frame(spark, docs)
+        assert got(fp.fingerprint_documents(frame_))[1] == wanted(docs)
+        rows = frame_.select(F.coalesce("doc_id", F.lit(fp.LEAST)).alias("key"), F.xxhash64("text").alias("h"), "text")
+        blocks = fp.blocks_of_neighbours(rows, 1, len(docs)).groupBy("base", "sub").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(blocks) > 13 and max(r["count"] for r in blocks) < 50
