@@ -230,13 +230,16 @@ def _fit_labels(stages: _Stages, classifier, label: str, output: str, fit_rows:
     ``fit_keys``; the labels, like the features, come from all rows.
     """
     known = stages.df.filter(F.col(label).isNotNull())
-    given = stages.rows.filter(F.col(label).isNotNull()).select(label)
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(given)
-    rows = known.select("features", label)
+    given = stages.rows.filter(F.col(label).isNotNull())
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(given.select(label))
     if fit_rows is not None:
+        # Chosen by their keys, before any feature is made.
         keys = list(fit_keys)
-        rows = fit_sample(known.select("features", label, *keys), fit_rows, *keys, label=label, classes=len(indexer.labels))
-        rows = rows.select("features", label)
+        chosen = fit_sample(given.select(label, *keys), fit_rows, *keys, label=label, classes=len(indexer.labels))
+        known = known.join(F.broadcast(chosen.select(*keys).distinct()), keys, "left_semi")
+        # Few rows, read some hundred times: in few partitions.
+        known = known.select("features", label).repartition(-(-fit_rows // 20_000))
+    rows = known.select("features", label)
     labelled = indexer.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         several = isinstance(classifier, OneAgainstRest)

@@ -1576,18 +1576,38 @@ FIT_ROWS = 1000
 
 
 def _scored_report(train, test, model, label, predict):
+    """Classes with their support among the test rows, and whether the measures are shares."""
     scored = predict(test, model, output="prediction")
-    return op.classification_report(scored, label, "prediction")
+    report = op.classification_report(scored, label, "prediction")
+    measured = F.lit(True)
+    for name in ("precision", "recall", "f1_score"):
+        measured = measured & F.col(name).between(0, 1)
+    return report.filter("support > 0").select("class", "support", measured.alias("measured"))
 
 
-@query("train_table_classifier")
+def _support_sql(rows: str, label: str, train_percent: int) -> str:
+    """Support by class of the rows that the hash split leaves for testing."""
+    return (
+        f"with {_ALL_CELLS}, p as (select {label} as y from {rows} where cast(concat('0x', substr(md5(table_id), 1, 8)) as bigint) % 100 >= {train_percent}), "
+        "n as (select y as class, count(*) as support from p group by y union all select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from p)) "
+        "select class, support, true as measured from n"
+    )
+
+
+_TABLE_SUPPORT = _support_sql(
+    "(select source, table_id, max(row_index) as row_count from cells group by source, table_id)",
+    "case when row_count > 6 then 'BIGRID_STACKED' when row_count > 3 then 'BIGRID' else 'KVP' end", 75,
+)
+
+
+@query("train_table_classifier", _TABLE_SUPPORT)
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
     model = op.train_table_classifier(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "table_class", op.predict_table_class)
 
 
-@query("train_table_classifier_grid")
+@query("train_table_classifier_grid", _TABLE_SUPPORT)
 def _(spark, sf_dir):
     train, test = op.hash_split(_titled_tables(spark, sf_dir), "table_id")
     model = op.train_table_classifier(train, variant="grid", fit_rows=FIT_ROWS)
@@ -1649,21 +1669,21 @@ def _cells_with_class(spark, sf_dir):
     return op.attach_table_class(_roles(fx.grid_cells(spark, sf_dir)), _classed_tables(fx.grid_cells(spark, sf_dir)))
 
 
-@query("train_cell_classifier")
+@query("train_cell_classifier", _support_sql("grid", _ROLE_SQL, 75))
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_context(spark, sf_dir), "table_id")
     model = op.train_cell_classifier(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
-@query("train_cell_role_svm")
+@query("train_cell_role_svm", _support_sql("grid", _ROLE_SQL, 80))
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_class(spark, sf_dir), "table_id", 80)
     model = op.train_cell_role_svm(train, fit_rows=FIT_ROWS)
     return _scored_report(train, test, model, "cell_role", op.predict_cell_role)
 
 
-@query("train_cell_role_svm_all_text")
+@query("train_cell_role_svm_all_text", _support_sql("grid", _ROLE_SQL, 80))
 def _(spark, sf_dir):
     train, test = op.hash_split(_cells_with_class(spark, sf_dir), "table_id", 80)
     model = op.train_cell_role_svm(train, text="all", fit_rows=FIT_ROWS)
