@@ -6,8 +6,11 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from blockframe import operators as op
 from blockframe import sources as src
+from blockframe import streaming
 from blockframe.plans import fixtures as fx
+from blockframe.plans import queries
 from blockframe.sources.schema import BLOCK
 
 
@@ -22,3 +25,14 @@ def test_saved_blocks_are_compressed_in_bounded_files(spark, tmp_path):
     assert len(files) == 10 and max(len(gzip.open(f).readlines()) for f in files) == 10
     loaded = src.load_blocks(spark, str(tmp_path / "saved")).select(*blocks.columns)
     assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, blocks.collect()))
+
+
+def test_rows_of_a_tied_title_come_together(spark):
+    tables = spark.createDataFrame([("s", f"t{i}", 1) for i in range(40)] + [("s", "none", 2), (None, "nowhere", 1)], "source string, table_id string, table_page int")
+    titles = [("s", f"ti{i}", 1, 0.9, f"title {i}") for i in range(5)] + [("s", "low", 1, 0.1, "low")]
+    titles = spark.createDataFrame(titles, "source string, layout_title_id string, layout_title_page int, layout_title_confidence double, layout_title_text string")
+    rows = op.attach_page_title(tables, titles).collect()
+    texts = [r.layout_title_text for r in rows if r.layout_title_text]
+    assert sum(a != b for a, b in zip(texts, texts[1:])) == 4
+    assert {(r.table_id, r.layout_title_text) for r in rows} == {(f"t{i}", f"title {j}") for i in range(40) for j in range(5)} | {("none", None), ("nowhere", None)}
+    assert len(rows) == 202 and rows[0].asDict().keys() == {"source", "table_page", "table_id", "layout_title_text"}
