@@ -27,6 +27,14 @@ def test_saved_blocks_are_compressed_in_bounded_files(spark, tmp_path):
     assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, blocks.collect()))
 
 
+def test_partitions_of_the_grid_are_bounded(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 500)
+    cells = fx.grid_cells(spark, sf_dir)
+    largest = cells.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    total = cells.count()
+    assert cells.rdd.getNumPartitions() == -(-total // 4 // 500) and largest < 2 * 4 * 500
+
+
 def test_rows_of_a_tied_title_come_together(spark):
     tables = spark.createDataFrame([("s", f"t{i}", 1) for i in range(40)] + [("s", "none", 2), (None, "nowhere", 1)], "source string, table_id string, table_page int")
     titles = [("s", f"ti{i}", 1, 0.9, f"title {i}") for i in range(5)] + [("s", "low", 1, 0.1, "low")]
