@@ -44,3 +44,25 @@ def test_rows_of_a_tied_title_come_together(spark):
     assert sum(a != b for a, b in zip(texts, texts[1:])) == 4
     assert {(r.table_id, r.layout_title_text) for r in rows} == {(f"t{i}", f"title {j}") for i in range(40) for j in range(5)} | {("none", None), ("nowhere", None)}
     assert len(rows) == 202 and rows[0].asDict().keys() == {"source", "table_page", "table_id", "layout_title_text"}
+
+
+def _stored(spark, monkeypatch):
+    """The tables that ``store_blocks`` writes from now on."""
+    tables, store = [], src.blocks.store_blocks
+
+    def keep(*given, **options):
+        tables.append(store(*given, **options))
+        return tables[-1]
+
+    monkeypatch.setattr("blockframe.operators.extract.store_blocks", keep)
+    monkeypatch.setattr(src, "store_blocks", keep)
+    return tables
+
+
+def test_stored_blocks_hold_what_cells_are_made_of(spark, sf_dir, monkeypatch):
+    tables = _stored(spark, monkeypatch)
+    blocks = fx.block_graph(spark, sf_dir).drop("document")
+    cells = op.cells_from_blocks(blocks)
+    assert {f.name for f in BLOCK.fields} - set(tables[0].columns) == {"Confidence", "Query"}
+    assert tables[0].schema["Geometry"].dataType.fieldNames() == ["BoundingBox"]
+    assert cells.count() == op.cells_from_blocks(blocks, dedupe=False).count()
