@@ -66,3 +66,15 @@ def test_stored_blocks_hold_what_cells_are_made_of(spark, sf_dir, monkeypatch):
     assert {f.name for f in BLOCK.fields} - set(tables[0].columns) == {"Confidence", "Query"}
     assert tables[0].schema["Geometry"].dataType.fieldNames() == ["BoundingBox"]
     assert cells.count() == op.cells_from_blocks(blocks, dedupe=False).count()
+
+
+def test_title_texts_come_from_the_buckets(spark, sf_dir):
+    stored = src.store_blocks(fx.block_graph(spark, sf_dir).drop("document"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        titles = op.layout_titles(stored)
+        titles.collect()
+        final = titles._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in final
