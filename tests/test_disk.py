@@ -78,3 +78,9 @@ def test_title_texts_come_from_the_buckets(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Bucketed: true" in final
+
+
+def test_decoded_documents_are_stored_once(spark, sf_dir, monkeypatch):
+    tables = _stored(spark, monkeypatch)
+    cells = queries.QUERIES["decode_documents"](spark, sf_dir)
+    assert len(tables) == 1 and "from_json" not in cells._jdf.queryExecution().optimizedPlan().toString()
