@@ -84,3 +84,20 @@ def test_decoded_documents_are_stored_once(spark, sf_dir, monkeypatch):
     tables = _stored(spark, monkeypatch)
     cells = queries.QUERIES["decode_documents"](spark, sf_dir)
     assert len(tables) == 1 and "from_json" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streamed_documents_have_about_500_tables(spark, sf_dir):
+    assert queries._documents_a_source(spark, sf_dir, 500) == 1
+    assert queries._documents_a_source(spark, "/root/testdata/sf0.1", 500) == 16
+
+
+def test_cells_of_a_batch_are_made_without_keeping_it(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.persist", lambda self, *a: kept.append(1) or self)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"Id": "a", "BlockType": "PAGE"}]')
+    blocks = streaming.stream_blocks(spark, str(tmp_path / "in"))
+    streaming.write_stream(blocks, str(tmp_path / "out"), str(tmp_path / "c1"), available_now=True).awaitTermination()
+    assert not kept
+    streaming.write_stream(blocks, str(tmp_path / "out2"), str(tmp_path / "c2"), transform=lambda b: b, available_now=True).awaitTermination()
+    assert kept
