@@ -86,6 +86,12 @@ def test_decoded_documents_are_stored_once(spark, sf_dir, monkeypatch):
     assert len(tables) == 1 and "from_json" not in cells._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_compressed_result_files_are_read(spark, tmp_path):
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write('[{"Id": "a", "BlockType": "PAGE"},\n {"Id": "b", "BlockType": "LINE"}]')
+    assert [r.Id for r in src.read_blocks(spark, str(tmp_path)).orderBy("pos").collect()] == ["a", "b"]
+
+
 def test_streamed_documents_have_about_500_tables(spark, sf_dir):
     assert queries._documents_a_source(spark, sf_dir, 500) == 1
     assert queries._documents_a_source(spark, "/root/testdata/sf0.1", 500) == 16
