@@ -19,7 +19,7 @@ from .encode import (
     pca,
     standard_scale,
 )
-from .context_bags import ContextBags, SparseCodes, context_bags, context_term_counts, fit_context_tfidf, sparse_vector, square_terms
+from .context_bags import ContextBags, SparseCodes, context_bags, context_term_counts, fit_context_tfidf, sparse_vector, square_terms, store_tables
 from .extract import (
     block_edges,
     block_report,

@@ -91,3 +91,17 @@ def test_long_weights_of_dense_and_sparse_vectors(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "b", 0.5), (2, "b", 2.0), (2, "d", 1.0)]
     assert "vector_to_array" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.filter(F.col("weight").isNull()).isEmpty()
+
+
+def test_stored_tables_are_read_without_a_shuffle(spark):
+    """Fitting and scoring go over stored tables as they lie; the bags are those of the cells as given."""
+    cells = some_cells(spark)
+    stored = op.store_tables(cells)
+    given, kept = op.fit_context_tfidf(cells, 5, "cell_content"), op.fit_context_tfidf(stored, 5, "cell_content")
+    assert sorted(given.collect()) == sorted(kept.collect())
+    terms = [r.term for r in given.orderBy("term_index").collect()]
+    bags = [op.ContextBags(terms=terms, own="cell_content", outputCol="n").transform(rows) for rows in (cells, stored)]
+    found = [{r.cell_id: r.n for r in b.select("cell_id", "n").collect()} for b in bags]
+    assert found[0] == found[1] and len(found[0]) == cells.count()
+    plan = bags[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
