@@ -107,3 +107,16 @@ def test_cells_of_a_batch_are_made_without_keeping_it(spark, tmp_path, monkeypat
     assert not kept
     streaming.write_stream(blocks, str(tmp_path / "out2"), str(tmp_path / "c2"), transform=lambda b: b, available_now=True).awaitTermination()
     assert kept
+
+
+def test_responses_are_made_in_partitions_of_bounded_size(spark, sf_dir, monkeypatch):
+    """Both sorts of ``decode_responses`` are over as many partitions as the blocks ask for; the rows stay the same."""
+    from blockframe.plans import queries
+
+    few = queries.QUERIES["decode_responses"](spark, sf_dir).select("source", "block_id", "place", "document_pages")
+    monkeypatch.setattr(queries, "BLOCKS_PER_TASK", 9_000)
+    many = queries.QUERIES["decode_responses"](spark, sf_dir)
+    tasks = queries._block_tasks(spark, sf_dir)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert many._jdf.queryExecution().executedPlan().toString().count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    assert few.exceptAll(many).isEmpty() and few.count() == many.count()
