@@ -120,3 +120,11 @@ def test_responses_are_made_in_partitions_of_bounded_size(spark, sf_dir, monkeyp
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert many._jdf.queryExecution().executedPlan().toString().count(f", {tasks}), REPARTITION_BY_NUM") == 2
     assert few.exceptAll(many).isEmpty() and few.count() == many.count()
+
+
+def test_tables_read_twice_are_stored(spark, sf_dir):
+    """What a query reads more than once comes from a stored copy, not from the lines again."""
+    for name in ("encode_entities", "pad_and_flatten_grid"):
+        asked = queries.QUERIES[name](spark, sf_dir)
+        assert not any("lineitem" in f for f in asked.inputFiles()), name
+        assert asked.count() > 0
