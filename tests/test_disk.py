@@ -122,9 +122,9 @@ def test_responses_are_made_in_partitions_of_bounded_size(spark, sf_dir, monkeyp
     assert few.exceptAll(many).isEmpty() and few.count() == many.count()
 
 
-def test_tables_read_twice_are_stored(spark, sf_dir):
+def test_tables_and_pairs_read_twice_are_stored(spark, sf_dir):
     """What a query reads more than once comes from a stored copy, not from the lines again."""
-    for name in ("encode_entities", "pad_and_flatten_grid"):
+    for name in ("encode_entities", "pad_and_flatten_grid", "merged_text"):
         asked = queries.QUERIES[name](spark, sf_dir)
         assert not any("lineitem" in f for f in asked.inputFiles()), name
         assert asked.count() > 0
