@@ -128,3 +128,14 @@ def test_tables_and_pairs_read_twice_are_stored(spark, sf_dir):
         asked = queries.QUERIES[name](spark, sf_dir)
         assert not any("lineitem" in f for f in asked.inputFiles()), name
         assert asked.count() > 0
+
+
+def test_titled_tables_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Stored tables whose titles repeat are small files of many rows; they are read in partitions of bounded rows."""
+    monkeypatch.setattr(queries, "TABLES_PER_TASK", 100)
+    rows = spark.range(2_000).selectExpr("'s' as source", "concat('t', id) as table_id", "repeat('long title ', 500) as layout_title_text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "tables"))
+    stored = spark.read.parquet(str(tmp_path / "tables"))
+    assert stored.rdd.getNumPartitions() == 1
+    sizes = [r["count"] for r in queries._dealt(stored).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 2_000 and max(sizes) < 200
