@@ -139,3 +139,5 @@ def test_titled_tables_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert stored.rdd.getNumPartitions() == 1
     sizes = [r["count"] for r in queries._dealt(stored).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 20 and sum(sizes) == 2_000 and max(sizes) < 200
+    monkeypatch.setattr(queries, "TABLES_PER_TASK", 2_000)
+    assert queries._dealt(stored) is stored
