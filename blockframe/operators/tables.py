@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .skew import TABLE_KEY
 
+# Groups are sorted by their keys; the first bytes of table ids tell them apart better than source names.
+_SORTED_KEY = ["table_id", "source"]
 _MAXIMA = ["table_width", "table_height", "table_left", "table_top", "table_page", "table_type"]
 _COUNTS = {
     "child_count": "CHILD",
@@ -80,12 +82,12 @@ def _nest(cells: DataFrame, entries: dict) -> DataFrame:
     """
     by_row = (
         cells.repartition(*TABLE_KEY)
-        .groupBy(*TABLE_KEY, "row_index")
-        .agg(*[F.array_sort(F.collect_list(e)).alias(n) for n, e in entries.items()])
+        .groupBy(*_SORTED_KEY, "row_index")
+        .agg(*[F.sort_array(F.collect_list(e)).alias(n) for n, e in entries.items()])
     )
-    by_table = by_row.groupBy(*TABLE_KEY).agg(
+    by_table = by_row.groupBy(*_SORTED_KEY).agg(
         *[
-            F.array_sort(F.collect_list(F.struct("row_index", F.col(f"{n}.v").alias("v")))).alias(n)
+            F.sort_array(F.collect_list(F.struct("row_index", F.col(f"{n}.v").alias("v")))).alias(n)
             for n in entries
         ]
     )
@@ -109,30 +111,31 @@ def summarize_tables(cells: DataFrame, content: bool = True, grid_size: str = "m
     is_child = F.col("cell_type") == "CHILD"
     by_row = (
         cells.repartition(*TABLE_KEY)
-        .groupBy(*TABLE_KEY, "row_index")
+        .groupBy(*_SORTED_KEY, "row_index")
         .agg(
             *[F.max(c).alias(c) for c in _MAXIMA],
             F.count("cell_words").alias("cell_count"),
             F.max("column_index").alias("column_count"),
             *[F.count_if(F.col("cell_type") == t).alias(n) for n, t in _COUNTS.items()],
-            F.array_sort(F.collect_list(F.struct(*order, F.col("cell_words").alias("v")))).alias("content"),
-            F.array_sort(
+            F.sort_array(F.collect_list(F.struct(*order, F.col("cell_words").alias("v")))).alias("content"),
+            F.sort_array(
                 F.collect_list(F.when(is_child, F.struct(*order, entity.alias("v"))))
             ).alias("entities"),
         )
     )
     row = F.col("row_index")
-    by_table = by_row.groupBy(*TABLE_KEY).agg(
+    by_table = by_row.groupBy(*_SORTED_KEY).agg(
         *[F.max(c).alias(c) for c in _MAXIMA],
         F.sum("cell_count").alias("cell_count"),
         F.max(row).alias("row_count"),
         F.max("column_count").alias("column_count"),
         *[F.sum(n).alias(n) for n in _COUNTS],
-        F.array_sort(F.collect_list(F.struct(row, F.col("content.v").alias("v")))).alias("content"),
-        F.array_sort(
+        F.sort_array(F.collect_list(F.struct(row, F.col("content.v").alias("v")))).alias("content"),
+        F.sort_array(
             F.collect_list(
                 F.when(F.size("entities") > 0, F.struct(row, F.col("entities.v").alias("v")))
             )
         ).alias("entities"),
     )
-    return by_table.withColumns({"content": F.col("content.v"), "entities": F.col("entities.v")})
+    others = [c for c in by_table.columns if c not in TABLE_KEY]
+    return by_table.select(*TABLE_KEY, *others).withColumns({"content": F.col("content.v"), "entities": F.col("entities.v")})
