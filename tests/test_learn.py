@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from blockframe import operators as op
+from blockframe.operators.shape import TABLE_NUMBERS
 from blockframe.plans import fixtures as fx
 from blockframe.plans import queries as q
 from blockframe.session import scratch_path
@@ -155,6 +156,20 @@ def test_entity_grid_of_a_tall_table(spark):
     assert rows["t3"].numNonzeros() == rows["t4"].numNonzeros() == 0
 
 
+def test_every_position_of_the_entity_grid_is_a_feature(spark):
+    """Clusters see all of a tall table, not the positions found in most tables only."""
+    tall = spark.range(1).select(F.lit("t0").alias("table_id"), F.expr("transform(sequence(1, 6000), i -> array('a', if(i % 2 = 0, 'b', 'a')))").alias("entities"))
+    small = spark.createDataFrame([("t1", [["a"], [None, "b"]])], "table_id string, entities array<array<string>>")
+    numbers = {c: F.length("table_id") for c in TABLE_NUMBERS}
+    texts = {"table_type": F.lit("x"), "layout_title_text": F.lit("some title"), "content": F.array(F.array(F.array(F.lit("word"))))}
+    rows = tall.unionByName(small).withColumns({**numbers, **texts})
+    features = op.cluster_features(rows)
+    grid = next(s for s in flat(features) if type(s).__name__ == "SparseCodes")
+    assert len(grid.getOrDefault("positions")) == 12_000
+    tall_row = grid.transform(rows.filter("table_id = 't0'")).first()["_grid"]
+    assert tall_row.numNonzeros() == 12_000 and tall_row[11_999] == 2
+
+
 def test_class_outside_the_sample_can_be_predicted(spark):
     rows = [(i, "common", "alpha beta") for i in range(400)] + [(1000 + i, "odd", "gamma delta") for i in range(3)] + [(2000 + i, "rare", "omega psi") for i in range(3)]
     cells = spark.createDataFrame(rows, "cell_id long, cell_role string, cell_content string").withColumns(
