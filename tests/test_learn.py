@@ -140,6 +140,26 @@ def test_queries_hand_the_whole_split_to_the_trainer(spark, sf_dir, monkeypatch,
     assert seen.value.args == (train.count(), q.FIT_ROWS)
 
 
+@pytest.mark.parametrize("name", ["train_table_classifier_grid", "train_cell_classifier", "train_cell_role_svm", "train_cell_role_svm_all_text"])
+def test_classifiers_are_fitted_on_the_whole_split(spark, sf_dir, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    class Counter:
+        def fit(self, rows, *_):
+            raise Seen(rows.count())
+
+    from blockframe.operators import learn
+
+    monkeypatch.setattr(learn, "_forest", lambda *_: Counter())
+    monkeypatch.setattr(learn.OneAgainstRest, "fit", Counter.fit)
+    with pytest.raises(Seen) as seen:
+        q.QUERIES[name](spark, sf_dir)
+    whole = q._titled_tables(spark, sf_dir) if "table" in name else fx.grid_cells(spark, sf_dir)
+    rows = op.hash_split(whole, "table_id", 80 if "svm" in name else 75)[0].count()
+    assert rows > 1000 and seen.value.args == (rows,)
+
+
 def test_entity_grid_of_a_tall_table(spark):
     """One table of 50,000 rows: as many features as asked for, those found in most tables first."""
     tall = spark.range(1).select(F.lit("t0").alias("table_id"), F.expr("transform(sequence(1, 50000), i -> array('a', if(i % 2 = 0, 'b', 'a')))").alias("entities"))
