@@ -141,3 +141,10 @@ def test_titled_tables_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert len(sizes) == 20 and sum(sizes) == 2_000 and max(sizes) < 200
     monkeypatch.setattr(queries, "TABLES_PER_TASK", 2_000)
     assert queries._dealt(stored) is stored
+
+
+def test_csv_is_compressed_in_bounded_files(spark, tmp_path):
+    rows = spark.range(95).select(F.concat(F.lit('line\n"'), F.col("id").cast("string")).alias("text"), F.array("id").alias("nested")).coalesce(1)
+    src.write_csv(rows, str(tmp_path / "csv"), rows_per_file=10)
+    assert len(list((tmp_path / "csv").glob("*.csv.gz"))) == 10
+    assert sorted(map(tuple, src.read_csv(spark, str(tmp_path / "csv"), rows.schema).collect())) == sorted(map(tuple, rows.collect()))
