@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 
 from pyspark.sql import functions as F
 
@@ -148,3 +149,10 @@ def test_csv_is_compressed_in_bounded_files(spark, tmp_path):
     src.write_csv(rows, str(tmp_path / "csv"), rows_per_file=10)
     assert len(list((tmp_path / "csv").glob("*.csv.gz"))) == 10
     assert sorted(map(tuple, src.read_csv(spark, str(tmp_path / "csv"), rows.schema).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_kinds_of_blocks_share_the_shuffles_of_the_lines(spark, sf_dir):
+    """Shuffles of the lines are made once where all that is read, and how it is cut, is the same."""
+    plan = fx.block_graph(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"FileScan parquet \[(l_orderkey.*?)\].*?DataFilters: (\[.*?\]), Format", re.sub(r"#\d+L?", "", plan))
+    assert len(read) == 3 and len(set(read)) == 1
