@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blockframe import operators as op
 from blockframe import sources as src
 from blockframe import streaming
+from blockframe.operators.extract import looked_up
 from blockframe.plans import fixtures as fx
 from blockframe.plans import queries
 from blockframe.sources.schema import BLOCK
@@ -151,8 +152,18 @@ def test_csv_is_compressed_in_bounded_files(spark, tmp_path):
     assert sorted(map(tuple, src.read_csv(spark, str(tmp_path / "csv"), rows.schema).collect())) == sorted(map(tuple, rows.collect()))
 
 
+
 def test_kinds_of_blocks_share_the_shuffles_of_the_lines(spark, sf_dir):
     """Shuffles of the lines are made once where all that is read, and how it is cut, is the same."""
     plan = fx.block_graph(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = re.findall(r"FileScan parquet \[(l_orderkey.*?)\].*?DataFilters: (\[.*?\]), Format", re.sub(r"#\d+L?", "", plan))
     assert len(read) == 3 and len(set(read)) == 1
+
+
+
+def test_hashes_of_ids_are_not_shuffled(spark, sf_dir):
+    """Ids meet the stored blocks in their buckets, which are not shuffled either; the shuffle moves no hash."""
+    blocks = src.store_blocks(fx.block_graph(spark, sf_dir).drop("document"))
+    ids = spark.createDataFrame([(f"src{i % 20}", f"t{i}") for i in range(50)], "source string, Id string")
+    plan = looked_up(ids, blocks.hint("merge"), "BlockType")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(xxhash64(source" in plan
