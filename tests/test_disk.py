@@ -167,3 +167,9 @@ def test_hashes_of_ids_are_not_shuffled(spark, sf_dir):
     ids = spark.createDataFrame([(f"src{i % 20}", f"t{i}") for i in range(50)], "source string, Id string")
     plan = looked_up(ids, blocks.hint("merge"), "BlockType")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(xxhash64(source" in plan
+
+
+def test_large_documents_hold_many_tables(spark, sf_dir):
+    """Each source's tables and titles are dealt to as few documents as their number asks for."""
+    documents = queries._large_documents(spark, sf_dir, 500).groupBy("source").agg(F.count_distinct("name").alias("n")).collect()
+    assert {r.n for r in documents} == {1}
